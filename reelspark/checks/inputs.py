@@ -20,6 +20,8 @@ TABLES = (
     "documents embeddings pages benchmark labels conversations"
 ).split()
 
+DRIVING = ("lineitem", "orders", "documents", "pages")
+
 VIEWS = {
     # One show per part; names are unique, IDs start at 1 because 0 means "unknown".
     "shows": """
@@ -27,9 +29,12 @@ select cast(p_partkey + 1 as int) show_id,
   concat(upper(substr(p_name,1,1)), substr(p_name,2,instr(p_name,' ')-1),
          upper(substr(p_name,instr(p_name,' ')+1,1)), substr(p_name,instr(p_name,' ')+2), ' ',
          upper(substr(code,1,1)), substr(code,2)) name,
-  p_name, p_type, p_brand, p_size, s_name channel, n_name country
-from (select *, translate(cast(p_partkey as varchar(12)),'0123456789','abdfghklmn') code,
-        p_partkey % (select count(*) from supplier) channel_key from part) p
+  p_name, p_type, p_brand, p_size
+from (select *, translate(cast(p_partkey as varchar(12)),'0123456789','abdfghklmn') code from part) p""",
+    # The channel a show runs on and its country.
+    "channels": """
+select show_id channel_of, s_name channel, n_name country
+from (select cast(p_partkey + 1 as int) show_id, p_partkey % (select count(*) from supplier) channel_key from part) p
 join supplier on s_suppkey = channel_key join nation on n_nationkey = s_nationkey""",
     # One episode per order: up to three in a season, seasons numbered from 1 to about 15.
     "episodes": """
@@ -46,7 +51,8 @@ join customer on o_custkey = c_custkey""",
     "files": """
 select concat('/incoming/', cast(l_suppkey as varchar(20)), '/', cast(l_partkey as varchar(20)), '/', filename) path,
   input_ord, path_type, request_id, filename, layout, true_series, true_season, true_episode, true_title,
-  show_id, l_shipdate
+  show_id, l_shipdate, case when o_orderstatus = 'P' and layout = 0 then
+    concat('/incoming/', cast(l_suppkey as varchar(20)), '/', cast(l_partkey as varchar(20)), '/', spelled, ' -', ss, '.', ee, '- ', title, '.mkv') end sibling
 from (select f.*, case layout
     when 0 then concat(replace(spelled,' ','.'),'.S',ss,'E',ee,'.',replace(title,' ','.'),'.720p.HDTV.x264-GRP.mkv')
     when 1 then lower(concat(replace(spelled,' ','.'),'.S',ss,'E',ee,'.HDTV.avi'))
@@ -60,7 +66,7 @@ from (select f.*, case layout
   case when layout = 7 then 0 else season end true_season,
   case when layout = 7 then 0 else episode end true_episode,
   case when layout in (1, 7) then '' else title end true_title
-from (select l_suppkey, l_partkey, l_shipdate, e.show_id, season, episode, title, l_orderkey request_id,
+from (select l_suppkey, l_partkey, l_shipdate, o_orderstatus, e.show_id, season, episode, title, l_orderkey request_id,
         l_orderkey * 8 + l_linenumber input_ord,
         case when l_linenumber = 7 and l_returnflag = 'R' then 'directory'
              when l_linenumber = 7 and l_returnflag = 'A' then 'absent' else 'file' end path_type,
@@ -68,13 +74,9 @@ from (select l_suppkey, l_partkey, l_shipdate, e.show_id, season, episode, title
         cast((l_orderkey + l_linenumber) % 8 as int) layout,
         lpad(cast(season as varchar(3)),2,'0') ss, lpad(cast(episode as varchar(3)),2,'0') ee
       from lineitem join episodes e on l_orderkey = e.ep_key join shows h on e.show_id = h.show_id) f) x""",
-    # Paths on disk: all the files, and canonical names that some series have already.
+    # One path on disk per present file: its own, or a canonically named one beside it.
     "listing": """
-select path from files where path_type <> 'absent' union
-select concat('/incoming/', cast(l_suppkey as varchar(20)), '/', cast(l_partkey as varchar(20)), '/', name, ' -',
-  lpad(cast(season as varchar(3)),2,'0'), '.', lpad(cast(episode as varchar(3)),2,'0'), '- ', title, '.mkv') path
-from lineitem join episodes e on l_orderkey = e.ep_key join shows h on e.show_id = h.show_id
-where o_orderstatus = 'P'""",
+select coalesce(sibling, path) path from files where path_type <> 'absent'""",
     # Alias pairs in two layers; the second overrides the first where both have a variant.
     "alias_layers": """
 select 1 layer, show_id line, concat(upper(name), ' US ') variant, concat(name, ' Archive') preferred
@@ -103,7 +105,7 @@ select show_id, name, p_size, concat('{"id":', cast(show_id as varchar(12)), ',"
                          when p_size > 30 and p_size <= 40 then concat('{"id":4,"name":"', channel, ' Web","country":null}') else 'null' end,
   ',"summary":', case when p_brand = 'Brand#5' then 'null' else concat('"<p><b>', name, '</b> is a ', p_type, ' &amp; <i>', p_name, '</i> show.</p>"') end,
   '}') payload
-from shows""",
+from shows join channels on show_id = channel_of""",
     # Search results per show: none, one, or three candidates, the last without a show in it.
     "search_payloads": """
 select lower(name) query, p_size, case when p_size <= 5 then '[]'
@@ -171,10 +173,18 @@ def query(
     spark: SparkSession, sf_dir: str, body: str, tables: dict[str, str] | None = None
 ) -> DataFrame:
     """SQL over the given tables and derived views. ``tables`` may replace given tables."""
-    base = {t: f"select * from parquet.`{sf_dir}/{t}.parquet`" for t in TABLES} | (tables or {})
-    whole = with_views(body)
-    used = {t: base[t] for t in needs(whole, TABLES)}
-    return spark.sql(with_views(body, used))
+    used = {t: _table(spark, sf_dir, t) for t in needs(with_views(body), TABLES)}
+    return spark.sql(with_views(body, {t: (tables or {}).get(t, sql) for t, sql in used.items()}))
+
+
+def _table(spark: SparkSession, sf_dir: str, name: str) -> str:
+    """A given table; one that drives heavy work but has fewer splits than cores is spread."""
+    path, hint = f"{sf_dir}/{name}.parquet", ""
+    if name in DRIVING:
+        cores = spark.sparkContext.defaultParallelism
+        if spark.read.parquet(path).rdd.getNumPartitions() < cores:
+            hint = f"/*+ repartition({cores}) */ "
+    return f"select {hint}* from parquet.`{path}`"
 
 
 def view(

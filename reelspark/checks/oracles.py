@@ -271,7 +271,7 @@ def _queries() -> dict[str, str]:
     q["scan_files"] = "select path, input_ord, path_type from files"
     q["scan_aliases"] = "select layer, line, lower(trim(variant)) variant_key, preferred from alias_layers"
     q["scan_series_ids"] = "select * from o_ids"
-    q["scan_catalog_shows"] = 'select show_id, name, url, premiered, status, "type", nw network, wc web_channel, genre, rating, summary from o_shows'
+    q["scan_catalog_shows"] = 'select show_id, name, url, premiered, status, "type", nw network, wc web_channel, genre, rating from o_shows'
     q["scan_catalog_seasons"] = "select * from o_seasons"
     q["scan_catalog_episodes"] = "select *, cast(airdate as date) air_date from o_episodes"
     q["scan_search_results"] = "select query, number, score, show_id, name from o_hits"
@@ -285,7 +285,7 @@ def _queries() -> dict[str, str]:
         regexp_extract(filename, '^(.*)\\.[^.]*$', 1) stem, {SUFFIX} suffix from files"""
     q["valid_files"] = """select path, case path_type when 'absent' then 'missing' when 'directory' then 'not_a_file'
         else 'ok' end status from files"""
-    q["infer"] = "select path, shape, " + ", ".join(f"{p}_part {p}" for p in PARTS) + " from o_parts"
+    q["infer"] = "select path, shape, " + ", ".join(f'{p}_part "{p}"' for p in PARTS) + " from o_parts"
     q["infer_unmatched"] = "select path, infer_status from o_named where shape is null"
     q["metadata_struct"] = """select path, to_json({'series': series, 'season': season, 'episode': episode,
         'title': title}) metadata from o_named"""
@@ -380,7 +380,7 @@ def _queries() -> dict[str, str]:
         concat('{urls}/shows/', show_id, '/episodebynumber?season=', season, '&number=', 2) episode_url,
         concat('{urls}/seasons/', show_id * 10 + 1, '/episodes') season_episodes_url,
         concat('{urls}/shows/', show_id) show_url, concat('{urls}/shows/', show_id, '/seasons') show_seasons_url
-        from (select show_id, concat(name, ' & ', p_type, '*~', p_size, '/', channel) as name, p_size season from shows)"""
+        from (select show_id, concat(name, ' & ', p_type, '*~', p_size, '/', channel) as name, p_size season from shows join channels on show_id = channel_of)"""
     q["network_country"] = f"select show_id, {LABEL_NETWORK} network, {LABEL_COUNTRY} country from o_shows"
     known = lambda x: f"case when show_id is null then 'Unknown' else coalesce({x}, 'None') end"
     q["candidate_label"] = f"""select query, number, concat(number, '. ', {known('name')}, ' (Premiered: ', {known('premiered')},

@@ -30,9 +30,12 @@ class Inputs:
 
     def __init__(self, spark: SparkSession, sf_dir: str, replaced: dict[str, str] | None = None):
         self.spark, self.sf_dir, self.replaced = tune(spark), sf_dir, replaced
+        self._views: dict[str, DataFrame] = {}
 
     def __getitem__(self, name: str) -> DataFrame:
-        return inputs.view(self.spark, self.sf_dir, name, self.replaced)
+        if name not in self._views:
+            self._views[name] = inputs.view(self.spark, self.sf_dir, name, self.replaced)
+        return self._views[name]
 
     def sql(self, body: str) -> DataFrame:
         return inputs.query(self.spark, self.sf_dir, body, self.replaced)
@@ -525,7 +528,7 @@ def lookup_url(i: Inputs) -> DataFrame:
     urls = labels.lookup_urls(
         SERVICE, name, F.col("show_id"), F.col("p_size"), F.lit(2), F.col("show_id") * 10 + 1
     )
-    return i["shows"].select("show_id", *(url.alias(kind) for kind, url in urls.items()))
+    return i.sql("select * from shows join channels on show_id = channel_of").select("show_id", *(url.alias(kind) for kind, url in urls.items()))
 
 
 @register

@@ -49,73 +49,70 @@ class MediaSpec:
 
     section: str
     shapes: tuple[Shape, ...]
-    fields: Callable[[Column], dict[str, Column]]
+    fields: Callable[[dict[str, Column]], dict[str, Column]]
     display: Callable[..., Column]
     folder: Callable[..., Column]
 
 
-def tv_fields(parts: Column) -> dict[str, Column]:
+def tv_fields(parts: dict[str, Column]) -> dict[str, Column]:
     """Typed episode fields of the raw parts; "" and 0 stand for "not known"."""
-    part = lambda name: F.coalesce(parts[name], F.lit(""))
     return {
-        "series": text.normalize_series(part("series")),
+        "series": text.normalize_series(F.coalesce(parts["series"], F.lit(""))),
         "season": text.whole_number(parts["season"]),
         "episode": text.whole_number(parts["episode"]),
-        "title": text.normalize_title(part("title")),
+        "title": text.normalize_title(F.coalesce(parts["title"], F.lit(""))),
     }
 
 
 TV = MediaSpec("tv", TV_SHAPES, tv_fields, paths.display_name, paths.target_dir)
 
 
-def match_shapes(files: DataFrame, shapes: tuple[Shape, ...], path: str = "path") -> DataFrame:
-    """Adds ``parts``: the named parts of the first shape the base name fits, else null.
+def _rewritten(name: Column, shapes: tuple[Shape, ...], ascii_only: bool) -> Column:
+    """A fitting name as marked parts, any other name as it is.
 
-    Each shape is tried at most once per name: a fitting name is rewritten to marked parts
-    by a single replacement, and rewritten names are passed on as they are. The tries stay
-    separate projections so that Catalyst does not repeat a pattern inside an expression.
+    One replacement per shape, in order; a rewritten name starts with the mark, at which
+    every later pattern gives up at once. Each step uses the one before exactly once, so the
+    expression stays linear however Catalyst moves it about.
     """
     mark = text.MARK
-    found = files.withColumn("_name", paths.base_name(F.col(path)))
     for number, shape in enumerate(shapes, start=1):
-        rewritten = f"{mark}{number}" + "".join(
+        parts = "".join(
             mark + (f"${shape.groups.index(part) + 1}" if part in shape.groups else "")
             for part in PARTS
         )
-        name = F.col("_name")
-        found = found.withColumn(
-            "_name",
-            F.when(name.startswith(mark), name).otherwise(
-                F.regexp_replace(name, shape.pattern, rewritten)
-            ),
-        )
-    pieces = F.split(F.col("_name"), mark)
-    return (
-        found.withColumn("_pieces", F.when(F.col("_name").startswith(mark), pieces))
-        .withColumn(
-            "parts",
-            F.when(
-                F.col("_pieces").isNotNull(),
-                F.struct(
-                    F.col("_pieces")[1].cast("int").alias("shape"),
-                    *(F.col("_pieces")[i].alias(part) for i, part in enumerate(PARTS, start=2)),
-                ),
-            ),
-        )
-        .drop("_name", "_pieces")
-    )
+        pattern = shape.pattern.replace(")^", f")^(?!{mark})", 1)
+        if ascii_only:
+            pattern = pattern.replace("(?U", "(?", 1)
+        name = F.regexp_replace(name, pattern, f"{mark}{number}{parts}")
+    return name
+
+
+def match_shapes(files: DataFrame, shapes: tuple[Shape, ...], path: str = "path") -> DataFrame:
+    """Adds ``_pieces``: mark-separated parts of the first shape the base name fits.
+
+    Names that are all ASCII take the patterns without Unicode classes: the same result, faster.
+    """
+    name = F.translate(paths.base_name(F.col(path)), text.MARK, "\ufffd")
+    plain = F.octet_length(name) == F.length(name)
+    found = F.when(plain, _rewritten(name, shapes, True)).otherwise(_rewritten(name, shapes, False))
+    return files.withColumn("_pieces", F.split(found, text.MARK))
 
 
 def infer(files: DataFrame, spec: MediaSpec = TV, path: str = "path") -> DataFrame:
-    """Adds ``parts``, the typed fields of the media type, and ``infer_status``."""
+    """Adds ``parts`` (null where nothing fits), the fields of the media type, ``infer_status``."""
     matched = match_shapes(files, spec.shapes, path)
-    missing = F.lit(NO_MATCH if spec.shapes else NO_PATTERNS)
+    pieces = F.col("_pieces")
+    shape = F.get(pieces, F.lit(1)).cast("int")
+    parts = {part: F.get(pieces, F.lit(i)) for i, part in enumerate(PARTS, start=2)}
+    named = F.struct(shape.alias("shape"), *(value.alias(part) for part, value in parts.items()))
+    missing = NO_MATCH if spec.shapes else NO_PATTERNS
     return matched.withColumns(
         {
-            **spec.fields(F.col("parts")),
-            "infer_status": F.when(F.col("parts").isNull(), missing).otherwise(F.lit(MATCHED)),
+            "parts": F.when(F.size(pieces) > 1, named),
+            **spec.fields(parts),
+            "infer_status": F.when(F.size(pieces) > 1, MATCHED).otherwise(missing),
         }
-    )
+    ).drop("_pieces")
 
 
 def unmatched(inferred: DataFrame) -> DataFrame:

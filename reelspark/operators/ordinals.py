@@ -118,11 +118,9 @@ def first_claims(
     wanted = F.col(target)
     mixed = F.xxhash64(*order)
     lane = F.when(wanted.isNull(), mixed).otherwise(F.pmod(mixed, F.lit(lanes).cast("bigint")))
-    rows = rows.withColumn("_lane", lane)
-    first_round = Window.partitionBy(target, "_lane").orderBy(*ranking)
-    rows = rows.withColumn("_leads", F.row_number().over(first_round) == 1)
-    final_lane = F.when(wanted.isNotNull() & F.col("_leads"), F.lit(-1).cast("bigint"))
-    rows = rows.withColumn("_lane", F.coalesce(final_lane, F.col("_lane")))
+    leads = F.row_number().over(Window.partitionBy(target, "_lane").orderBy(*ranking)) == 1
+    final = F.when(wanted.isNotNull() & F.col("_leads"), F.lit(-1).cast("bigint")).otherwise(F.col("_lane"))
+    rows = rows.withColumn("_lane", lane).withColumn("_leads", leads).withColumn("_lane", final)
     second_round = Window.partitionBy(target, "_lane").orderBy(*ranking)
     first = F.col("_leads") & (F.row_number().over(second_round) == 1)
     return (

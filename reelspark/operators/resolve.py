@@ -13,24 +13,24 @@ def attach(rows: DataFrame, reference: DataFrame, on: dict[str, Column], keep: l
     """Left join to a reference table that is unique on its key columns.
 
     ``on`` maps key columns of the reference to expressions over ``rows``. Rows whose key
-    has a null can match nothing, so they are spread over the cluster by a second key instead
-    of meeting in one task. Beyond broadcast size, AQE splits hot keys of the row side.
+    has a null can match nothing, so they are spread over the cluster by a hash of their
+    first column (an identifying one) instead of meeting in one task. Beyond broadcast size,
+    AQE splits hot keys of the row side.
     """
-    keys = {f"_key_{name}": value for name, value in on.items()}
-    rows = rows.withColumns(keys)
     absent = None
-    for key in keys:
-        test = F.col(key).isNull()
-        absent = test if absent is None else absent | test
-    carried = [F.col(c) for c in rows.columns if c not in keys]
-    spread = F.when(absent, F.xxhash64(*carried)).otherwise(F.lit(0).cast("bigint"))
+    for value in on.values():
+        absent = value.isNull() if absent is None else absent | value.isNull()
+    spread = F.when(absent, F.xxhash64(rows.columns[0])).otherwise(F.lit(0).cast("bigint"))
+    keys = [f"_key_{name}" for name in on]
+    asked = rows.select(
+        "*", *(value.alias(key) for key, value in zip(keys, on.values())), spread.alias("_spread")
+    )
     side = reference.select(
-        *(F.col(name).alias(f"_key_{name}") for name in on),
+        *(F.col(name).alias(key) for key, name in zip(keys, on)),
         F.lit(0).cast("bigint").alias("_spread"),
         *keep,
     )
-    joined = rows.withColumn("_spread", spread).join(side, [*keys, "_spread"], "left")
-    return joined.drop(*keys, "_spread")
+    return asked.join(side, [*keys, "_spread"], "left").select(*rows.columns, *keep)
 
 
 def join_aliases(rows: DataFrame, aliases: DataFrame | None, field: str = "series") -> DataFrame:
@@ -58,11 +58,10 @@ def join_local_ids(rows: DataFrame, ids: DataFrame, field: str = "series") -> Da
 
 def series_keys(rows: DataFrame, field: str = "series") -> DataFrame:
     """The distinct series named in the rows, as lookup keys; unnamed rows name none."""
-    return (
-        rows.select(name_key(F.col(field)).alias("series_key"))
-        .filter(F.col("series_key") != "")
-        .distinct()
-    )
+    keys = rows.groupBy(name_key(F.col(field)).alias("series_key")).agg(F.count("*").alias("_n"))
+    # Tied to the count, the test stays above the grouping: pushed below it, the key, with
+    # all the patterns behind it, would be computed for the test and then once more.
+    return keys.filter(F.when(F.col("_n") > 0, F.col("series_key")) != "").select("series_key")
 
 
 def unresolved_series(rows: DataFrame, ids: DataFrame, field: str = "series") -> DataFrame:
@@ -190,26 +189,24 @@ def top_candidate(candidates: DataFrame) -> DataFrame:
     )
 
 
-def resolve_best(names: DataFrame, index: DataFrame, field: str = "series_key") -> DataFrame:
-    """Non-interactive search: one ID per name, 0 where nothing is found.
+def resolve_best(
+    names: DataFrame, index: DataFrame, field: str = "series_key", ask: Column | None = None
+) -> DataFrame:
+    """Non-interactive search: adds ``series_id``, 0 where nothing is found.
 
     Equal names are looked up first by a plain join; only names left over are searched by
-    signature.
+    signature. ``ask`` may leave out names that need no search.
     """
-    asked = names.withColumn("_query", search_key(F.col(field)))
-    exact = asked.join(
-        index.select(F.col("name_key").alias("_query"), F.col("show_id").alias("_exact")),
-        "_query",
-        "left",
-    )
-    rest = exact.filter(F.col("_exact").isNull()).select(F.col("_query").alias("query"))
-    near = top_candidate(search_candidates(rest, index)).select(
-        F.col("query_key").alias("_query"), F.col("show_id").alias("_near")
+    query = F.nullif(search_key(F.col(field)), F.lit(""))
+    asked = names.withColumn("_query", query if ask is None else F.when(ask, query))
+    exact = attach(
+        asked, index.withColumnRenamed("show_id", "_exact"), {"name_key": F.col("_query")}, ["_exact"]
     )
-    return (
-        exact.join(near, "_query", "left")
-        .withColumn("series_id", F.coalesce("_exact", "_near", F.lit(0)))
-        .drop("_query", "_exact", "_near")
+    left_over = F.when(F.col("_exact").isNull(), F.col("_query"))
+    rest = exact.filter(left_over.isNotNull())
+    near = top_candidate(search_candidates(rest, index, "_query")).withColumnRenamed("show_id", "_near")
+    return attach(exact, near, {"query_key": left_over}, ["_near"]).select(
+        *names.columns, F.coalesce("_exact", "_near", F.lit(0)).alias("series_id")
     )
 
 
@@ -218,11 +215,14 @@ def resolve_series(keys: DataFrame, ids: DataFrame, index: DataFrame) -> DataFra
 
     Returns ``series_key, series_id, id_source`` (known, search, none).
     """
-    local = keys.join(ids, "series_key").withColumn("id_source", F.lit("known"))
-    found = resolve_best(keys.join(ids, "series_key", "left_anti"), index).withColumn(
-        "id_source", F.when(F.col("series_id") == 0, "none").otherwise("search")
+    known = ids.withColumnRenamed("series_id", "_known")
+    local = attach(keys, known, {"series_key": F.col("series_key")}, ["_known"])
+    unknown = F.col("_known").isNull()
+    return resolve_best(local, index, ask=unknown).select(
+        "series_key",
+        F.coalesce("_known", "series_id").alias("series_id"),
+        F.when(~unknown, "known").when(F.col("series_id") == 0, "none").otherwise("search").alias("id_source"),
     )
-    return local.unionByName(found)
 
 
 def pick_nth(options: DataFrame, choices: DataFrame) -> DataFrame:
