@@ -14,6 +14,7 @@ import re
 from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 TABLES = (
     "region nation customer supplier part orders lineitem events "
@@ -177,14 +178,22 @@ def query(
     return spark.sql(with_views(body, {t: (tables or {}).get(t, sql) for t, sql in used.items()}))
 
 
+# Schemas of the given tables by path, so that each footer is read once per session.
+_SCHEMAS: dict[str, StructType] = {}
+
+
 def _table(spark: SparkSession, sf_dir: str, name: str) -> str:
     """A given table; one that drives heavy work but has fewer splits than cores is spread."""
-    path, hint = f"{sf_dir}/{name}.parquet", ""
-    if name in DRIVING:
-        cores = spark.sparkContext.defaultParallelism
-        if spark.read.parquet(path).rdd.getNumPartitions() < cores:
-            hint = f"/*+ repartition({cores}) */ "
-    return f"select {hint}* from parquet.`{path}`"
+    path = f"{sf_dir}/{name}.parquet"
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    table = spark.read.schema(_SCHEMAS[path]).parquet(path)
+    cores = spark.sparkContext.defaultParallelism
+    if name in DRIVING and table.rdd.getNumPartitions() < cores:
+        table = table.repartition(cores)
+    view_name = "given_" + re.sub(r"\W+", "_", path)
+    table.createOrReplaceTempView(view_name)
+    return f"select * from {view_name}"
 
 
 def view(

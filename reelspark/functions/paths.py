@@ -12,12 +12,14 @@ def base_name(path: Column) -> Column:
 
 def parent(path: Column) -> Column:
     """Everything before the last slash; empty for a bare name."""
-    return F.regexp_extract(path, r"(?s)^(.*)/[^/]*\z", 1)
+    return F.substring(path, F.lit(1), F.length(path) - F.length(base_name(path)) - 1)
 
 
 def suffix(name: Column) -> Column:
-    """The last dot and what follows it; a leading dot or a closing dot is no suffix."""
-    return F.regexp_extract(name, r"(?s)^\.*[^.].*?(\.[^.]+)\z", 1)
+    """The last dot and what follows it, if something other than dots comes before."""
+    tail = F.concat(F.lit("."), F.substring_index(name, ".", -1))
+    head = F.substring(name, F.lit(1), F.length(name) - F.length(tail))
+    return F.when(F.ltrim(head, F.lit(".")) != "", tail).otherwise("")
 
 
 def stem(name: Column) -> Column:

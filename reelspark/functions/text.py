@@ -40,15 +40,12 @@ def undot(text: Column) -> Column:
 def title_case(text: Column) -> Column:
     """A capital after *any* character that has no case: "marvel's" gives "Marvel'S".
 
-    ``initcap`` only looks at blanks, so a marked blank is put before each word start and
-    taken out again; that keeps the expression inside whole-stage code generation, which a
-    lambda over an array of words would not.
+    ``initcap`` only looks at blanks, so a marked blank is put wherever a word starts after
+    another character without case, and taken out again; that keeps the expression inside
+    whole-stage code generation, which a lambda over an array of words would not.
     """
-    starts = F.regexp_replace(
-        F.lower(text),
-        r"(?<![\p{Lu}\p{Ll}\p{Lt}])(?=[\p{Lu}\p{Ll}\p{Lt}])",
-        f"{MARK} ",
-    )
+    cased = r"\p{Lu}\p{Ll}\p{Lt}"
+    starts = F.regexp_replace(F.lower(text), rf"([^{cased} ])(?=[{cased}])", f"$1{MARK} ")
     return F.replace(F.initcap(starts), F.lit(f"{MARK} "), F.lit(""))
 
 
@@ -64,8 +61,10 @@ def strip_release_tags(text: Column, strict: bool = False) -> Column:
     word boundaries around the tag.
     """
     tags = "|".join(RELEASE_TAGS)
+    first = "".join(sorted({tag[0] for tag in RELEASE_TAGS}))
     edge = r"\b" if strict else ""
-    return F.regexp_replace(text, rf"(?iud)\(?{edge}(?:{tags}){edge}.*", "")
+    # The look-ahead only lets the search skip characters that start no tag.
+    return F.regexp_replace(text, rf"(?iud)(?=[({first}])\(?{edge}(?:{tags}){edge}.*", "")
 
 
 def whole_number(text: Column) -> Column:

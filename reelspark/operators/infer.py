@@ -67,35 +67,23 @@ def tv_fields(parts: dict[str, Column]) -> dict[str, Column]:
 TV = MediaSpec("tv", TV_SHAPES, tv_fields, paths.display_name, paths.target_dir)
 
 
-def _rewritten(name: Column, shapes: tuple[Shape, ...], ascii_only: bool) -> Column:
-    """A fitting name as marked parts, any other name as it is.
+def match_shapes(files: DataFrame, shapes: tuple[Shape, ...], path: str = "path") -> DataFrame:
+    """Adds ``_pieces``: mark-separated parts of the first shape the base name fits.
 
-    One replacement per shape, in order; a rewritten name starts with the mark, at which
-    every later pattern gives up at once. Each step uses the one before exactly once, so the
-    expression stays linear however Catalyst moves it about.
+    One replacement per shape, in order, turns a fitting name into marked parts. A rewritten
+    name starts with the mark, at which every later pattern gives up at once. Each step uses
+    the one before exactly once, so the expression stays linear wherever Catalyst moves it.
     """
     mark = text.MARK
+    name = F.translate(paths.base_name(F.col(path)), mark, "\ufffd")
     for number, shape in enumerate(shapes, start=1):
         parts = "".join(
             mark + (f"${shape.groups.index(part) + 1}" if part in shape.groups else "")
             for part in PARTS
         )
         pattern = shape.pattern.replace(")^", f")^(?!{mark})", 1)
-        if ascii_only:
-            pattern = pattern.replace("(?U", "(?", 1)
         name = F.regexp_replace(name, pattern, f"{mark}{number}{parts}")
-    return name
-
-
-def match_shapes(files: DataFrame, shapes: tuple[Shape, ...], path: str = "path") -> DataFrame:
-    """Adds ``_pieces``: mark-separated parts of the first shape the base name fits.
-
-    Names that are all ASCII take the patterns without Unicode classes: the same result, faster.
-    """
-    name = F.translate(paths.base_name(F.col(path)), text.MARK, "\ufffd")
-    plain = F.octet_length(name) == F.length(name)
-    found = F.when(plain, _rewritten(name, shapes, True)).otherwise(_rewritten(name, shapes, False))
-    return files.withColumn("_pieces", F.split(found, text.MARK))
+    return files.withColumn("_pieces", F.split(name, mark))
 
 
 def infer(files: DataFrame, spec: MediaSpec = TV, path: str = "path") -> DataFrame:

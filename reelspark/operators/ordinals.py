@@ -118,13 +118,15 @@ def first_claims(
     wanted = F.col(target)
     mixed = F.xxhash64(*order)
     lane = F.when(wanted.isNull(), mixed).otherwise(F.pmod(mixed, F.lit(lanes).cast("bigint")))
-    leads = F.row_number().over(Window.partitionBy(target, "_lane").orderBy(*ranking)) == 1
+    # The hash comes first in the sort: paths that begin alike would be compared in full.
+    contest = Window.partitionBy("_sort", target, "_lane").orderBy(*ranking)
+    leads = F.row_number().over(contest) == 1
     final = F.when(wanted.isNotNull() & F.col("_leads"), F.lit(-1).cast("bigint")).otherwise(F.col("_lane"))
-    rows = rows.withColumn("_lane", lane).withColumn("_leads", leads).withColumn("_lane", final)
-    second_round = Window.partitionBy(target, "_lane").orderBy(*ranking)
-    first = F.col("_leads") & (F.row_number().over(second_round) == 1)
+    rows = rows.select("*", lane.alias("_lane"), F.xxhash64(wanted).alias("_sort"))
+    rows = rows.withColumn("_leads", leads).withColumn("_lane", final)
+    first = F.col("_leads") & (F.row_number().over(contest) == 1)
     return (
         rows.withColumn(name, F.when(wanted.isNotNull(), first))
         .filter(~F.col("_taken"))
-        .drop("_taken", "_lane", "_leads")
+        .drop("_taken", "_lane", "_leads", "_sort")
     )
