@@ -401,6 +401,12 @@ def _queries() -> dict[str, str]:
     return q
 
 
+# Code points of the character references that web pages commonly hold.
+REFERENCES = {
+    "lt": 60, "gt": 62, "quot": 34, "#39": 39, "nbsp": 160, "copy": 169, "middot": 183, "mdash": 8212, "amp": 38,
+}
+
+
 def _strip_tags_sql() -> str:
     tags = r"(?is)<!--.*?-->|<script\b[^>]*>(.*?)</script\s*>|<style\b[^>]*>(.*?)</style\s*>|<[a-z/!?][^>]*>"
     out = f"regexp_replace(html, '{tags}', '\\1\\2', 'g')"

@@ -10,17 +10,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 # The character references the native variant decodes ("&amp;" comes last).
-ENTITIES = (
-    ("&lt;", "<"),
-    ("&gt;", ">"),
-    ("&quot;", '"'),
-    ("&#34;", '"'),
-    ("&apos;", "'"),
-    ("&#39;", "'"),
-    ("&#x27;", "'"),
-    ("&nbsp;", " "),
-    ("&amp;", "&"),
-)
+ENTITIES = {
+    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#34;": '"', "&apos;": "'", "&#39;": "'", "&#x27;": "'",
+    "&nbsp;": "\u00a0", "&copy;": "©", "&reg;": "®", "&trade;": "™", "&middot;": "·", "&bull;": "•",
+    "&hellip;": "…", "&ndash;": "–", "&mdash;": "—", "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“",
+    "&rdquo;": "”", "&laquo;": "«", "&raquo;": "»", "&sect;": "§", "&deg;": "°", "&times;": "×",
+    "&pound;": "£", "&euro;": "€", "&amp;": "&",
+}
 
 # Text that may still be half a character reference when the input ends.
 _OPEN_REFERENCE = r"(?s)(^|>)[^<>]*&[^\s;&<>]{0,33}\z"
@@ -42,7 +38,7 @@ def strip_tags(html: Column) -> Column:
     """
     text = F.regexp_replace(html, _OPEN_REFERENCE, "$1")
     text = F.regexp_replace(text, _MARKUP, "$1$2")
-    for reference, char in ENTITIES:
+    for reference, char in ENTITIES.items():
         text = F.replace(text, F.lit(reference), F.lit(char))
     return text
 

@@ -16,10 +16,10 @@ def parent(path: Column) -> Column:
 
 
 def suffix(name: Column) -> Column:
-    """The last dot and what follows it, if something other than dots comes before."""
+    """The last dot and what follows it, if anything does and something comes before."""
     tail = F.concat(F.lit("."), F.substring_index(name, ".", -1))
-    head = F.substring(name, F.lit(1), F.length(name) - F.length(tail))
-    return F.when(F.ltrim(head, F.lit(".")) != "", tail).otherwise("")
+    inside = (F.length(tail) < F.length(name)) & (tail != ".")
+    return F.when(inside, tail).otherwise("")
 
 
 def stem(name: Column) -> Column:

@@ -1,0 +1,140 @@
+"""Column functions against Python's own string, path and HTML routines."""
+
+import string
+import urllib.parse
+from pathlib import PurePosixPath
+
+import pytest
+from pyspark.sql import functions as F
+
+from reelspark.functions import html, labels, paths, text
+
+WORDS = [
+    "", " ", "marvel's lamp", "o'neill 3rd part", "ÉTÉ à la mer", "a-b_c d", "x1y2 z", "straße", "  two  words ",
+    "devil's\tlamp\nend", "ALL CAPS", "1st", "日本 tv", "mixedCase wOrD", " padded ",
+]
+
+
+def column(spark, values, expression):
+    rows = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i int, v string")
+    return [r[1] for r in rows.select("i", expression(F.col("v"))).orderBy("i").collect()]
+
+
+def test_title_case_is_pythons_title(spark):
+    assert column(spark, WORDS, text.title_case) == [w.title() for w in WORDS]
+
+
+def test_cap_words_is_capwords(spark):
+    assert column(spark, WORDS, text.cap_words) == [string.capwords(w) for w in WORDS]
+
+
+def test_strip_is_pythons_strip(spark):
+    assert column(spark, WORDS, text.strip) == [w.strip() for w in WORDS]
+
+
+def test_release_tags(spark):
+    cases = {
+        "Low Tide 720p WEB-X": "Low Tide ", "Low Tide (1080p x265)": "Low Tide ", "The Web Below": "The ",
+        "proper": "", "Nothing here": "Nothing here", "": "",
+    }
+    assert column(spark, list(cases), text.strip_release_tags) == list(cases.values())
+    strict = column(spark, ["The Webbing", "The Web Below"], lambda c: text.strip_release_tags(c, True))
+    assert strict == ["The Webbing", "The "]
+
+
+def test_whole_number(spark):
+    values = ["0304", "7", "", None, "٣", "x", "99999999999999"]
+    assert column(spark, values, text.whole_number) == [304, 7, 0, 0, 3, 0, 0]
+
+
+def test_url_quote_is_quote_plus(spark):
+    values = ["a b", "é&=?/", "*~-_.!'()", "100% + 日本"]
+    assert column(spark, values, text.url_quote) == [urllib.parse.quote_plus(v) for v in values]
+
+
+def test_lookup_urls(spark):
+    urls = labels.lookup_urls("https://s", F.lit("a b"), F.lit(5), F.lit(2), F.lit(3), F.lit(9))
+    row = spark.range(1).select(*(u.alias(k) for k, u in urls.items())).first()
+    assert row.search_url == "https://s/search/shows/?q=a+b"
+    assert row.single_search_url == "https://s/singlesearch/shows/?q=a+b"
+    assert row.episode_url == "https://s/shows/5/episodebynumber?season=2&number=3"
+    assert row.season_episodes_url == "https://s/seasons/9/episodes"
+    assert (row.show_url, row.show_seasons_url) == ("https://s/shows/5", "https://s/shows/5/seasons")
+
+
+PATHS = ["a/b/c.d.mkv", "c.mkv", "x/.hidden", "x/..two", "dir.v1/none", "a/b.", "/root.avi", "a/.h.txt"]
+
+
+def test_path_parts_are_pathlibs(spark):
+    pure = [PurePosixPath(p) for p in PATHS]
+    assert column(spark, PATHS, paths.base_name) == [p.name for p in pure]
+    names = [p.name for p in pure]
+    assert column(spark, names, paths.suffix) == [p.suffix for p in pure]
+    assert column(spark, names, paths.stem) == [p.stem for p in pure]
+    assert column(spark, PATHS[:3], paths.parent) == ["a/b", "", "x"]
+
+
+def test_display_and_folder(spark):
+    def shown(series, season, episode, title):
+        return paths.display_name(*(F.lit(v) for v in (series, season, episode, title)))
+
+    row = spark.range(1).select(
+        shown("Night Harbor", 3, 4, "Low Tide").alias("a"), shown("", 0, 0, "").alias("b"),
+        shown("N", 2019, 104, "T").alias("c"),
+        paths.target_dir(F.lit("/lib"), F.lit("Night Harbor"), F.lit(3)).alias("d"),
+        paths.rename_target(F.lit("in/x.y.mkv"), F.lit("N -01.02- T")).alias("e"),
+    ).first()
+    assert row.a == "Night Harbor -03.04- Low Tide"
+    assert row.b == "Unknown -00.00- Unknown"
+    assert row.c == "N -2019.104- T"
+    assert row.d == "/lib/Night Harbor/Season 03"
+    assert row.e == "in/N -01.02- T.mkv"
+
+
+HTML = {
+    "<p>a &amp; b</p>": "a & b", "a<!-- c -->b": "ab", "a<script>var t='<p>';</script>b": "avar t='<p>';b",
+    "x < y": "x < y", "a<b": "a", "tail A&B": "", "&amp;lt; ": "&lt; ", "<br/>line<!DOCTYPE x>": "line",
+    "&copy; &mdash; &nbsp;. ": "© —  . ", "": "",
+}
+
+
+@pytest.mark.parametrize("variant", [html.strip_tags, html.strip_tags_exact])
+def test_strip_tags(spark, variant):
+    assert column(spark, [*HTML, None], variant) == [*HTML.values(), None]
+
+
+def test_strip_tags_variants_agree_on_pages(spark):
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    both = pages.select(html.strip_tags(F.col("html")).alias("a"), html.strip_tags_exact("html").alias("b"))
+    assert both.filter("a <> b").count() == 0 and both.count() == 250
+
+
+def test_labels(spark):
+    from reelspark.sources import schemas
+
+    payloads = [
+        '{"id":1,"name":"A","premiered":"2001","network":{"name":"N","country":{"name":"C"}}}',
+        '{"id":2,"name":"B","premiered":null,"network":{"name":"N","country":null}}',
+        '{"id":3,"name":"C","premiered":"2002","webChannel":{"name":"W","country":{"name":"D"}}}',
+        '{"id":4,"name":"D","premiered":"2003"}', "{}",
+    ]
+    got = column(
+        spark, payloads, lambda c: labels.candidate_label(F.lit(1), F.from_json(c, schemas.SHOW))
+    )
+    assert got == [
+        "1. A (Premiered: 2001, Network: N, Country: C, ID: 1)",
+        "1. B (Premiered: None, Network: N, Country: Unknown, ID: 2)",
+        "1. C (Premiered: 2002, Network: W, Country: D, ID: 3)",
+        "1. D (Premiered: 2003, Network: Unknown, Country: Unknown, ID: 4)",
+        "1. Unknown (Premiered: Unknown, Network: Unknown, Country: Unknown, ID: 0)",
+    ]
+
+
+def test_report_texts(spark):
+    from reelspark.sources import schemas
+
+    show = '{"id":7,"name":"A","url":"u","premiered":"2001-01-02","status":"Ended","summary":"<p>x &amp; y</p>"}'
+    got = column(spark, [show], lambda c: labels.series_text(F.from_json(c, schemas.SHOW)))
+    assert got == ["A - ID: 7 - u\nPremiered: 2001-01-02 - Status: Ended\nx & y"]
+    line = labels.episode_text(F.lit(1), F.lit(2), F.lit("T"), F.lit("u"), F.lit(None).cast("string"))
+    assert spark.range(1).select(line).first()[0] == "1x2 - T\nu\n"
