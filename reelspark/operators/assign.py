@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reelspark.functions import paths
 from reelspark.operators.enrich import FETCHED, NOT_FOUND, episode_title
 from reelspark.operators.ordinals import number_rows
+from reelspark.operators.resolve import attach
 
 
 def natural_key(name: Column) -> list[Column]:
@@ -58,10 +59,11 @@ def apply_single(files: DataFrame, requests: DataFrame, episodes: DataFrame) ->
 
     ``requests``: accepted ones with series, series_id, season, episode.
     """
-    one = requests.filter(given("episode")).select(
-        "request_id", "series", "series_id", "season", "episode"
+    wanted = ["series", "series_id", "season", "episode"]
+    chosen = attach(
+        files, requests.filter(given("episode")), {"request_id": F.col("request_id")}, wanted, "inner"
     )
-    titled = episode_title(files.join(one, "request_id"), episodes)
+    titled = episode_title(chosen, episodes)
     known = F.col("fetch_status").isin(FETCHED, NOT_FOUND)
     title = F.when(known, F.coalesce("fetched_title", F.lit("")))
     return _renamed(titled.withColumn("title", title), known, F.col("fetch_status"))
@@ -87,8 +89,11 @@ def apply_season(
     Both sides are numbered first and meet on (series, season, position), a key that is
     unique on the episode side: no list is paired with another inside one task.
     """
-    many = requests.filter(~given("episode")).select("request_id", "series", "series_id", "season")
-    placed = apply_ordinals(files.join(many, "request_id"), **options)
+    wanted = ["series", "series_id", "season"]
+    chosen = attach(
+        files, requests.filter(~given("episode")), {"request_id": F.col("request_id")}, wanted, "inner"
+    )
+    placed = apply_ordinals(chosen, **options)
     listed = episode_ordinals(
         episodes.select("series_id", "season", "episode", "episode_id", "title"), **options
     )

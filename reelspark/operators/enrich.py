@@ -63,10 +63,7 @@ def first_or_default(rows: DataFrame, key: list[str], order: list[str], value: s
 
 
 def episode_index(episodes: DataFrame) -> DataFrame:
-    """Episodes made unique on (series, season, number): the lowest episode ID wins.
-
-    The shuffle is on the key of the join that follows, so that join needs no other.
-    """
+    """Episodes made unique on (series, season, number): the lowest episode ID wins."""
     return (
         episodes.groupBy("series_id", "season", "episode")
         .agg(F.min(F.struct("episode_id", "title", "url", "summary")).alias("_first"))

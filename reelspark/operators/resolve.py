@@ -9,28 +9,32 @@ from reelspark.functions.text import name_key, search_key
 from reelspark.operators.ordinals import number_rows
 
 
-def attach(rows: DataFrame, reference: DataFrame, on: dict[str, Column], keep: list[str]) -> DataFrame:
-    """Left join to a reference table that is unique on its key columns.
-
-    ``on`` maps key columns of the reference to expressions over ``rows``. Rows whose key
-    has a null can match nothing, so they are spread over the cluster by a hash of their
-    first column (an identifying one) instead of meeting in one task. Beyond broadcast size,
-    AQE splits hot keys of the row side.
+def attach(
+    rows: DataFrame, reference: DataFrame, on: dict[str, Column], keep: list[str], how: str = "left"
+) -> DataFrame:
+    """Join (left or inner) to a reference table that is unique on its key columns.
+
+    ``on`` maps key columns of the reference to expressions over ``rows``. Catalyst broadcasts
+    a reference it measures as small. Beyond that, a second join key does two things: rows
+    whose key has a null can match nothing and are spread by a hash of their first column (an
+    identifying one) instead of meeting in one task; and the reference gets a shuffle of its
+    own even if it is already partitioned by its key, without which AQE would not split a
+    hot key of the row side.
     """
+    keys = [f"_key_{name}" for name in on]
     absent = None
     for value in on.values():
         absent = value.isNull() if absent is None else absent | value.isNull()
-    spread = F.when(absent, F.xxhash64(rows.columns[0])).otherwise(F.lit(0).cast("bigint"))
-    keys = [f"_key_{name}" for name in on]
+    # Always 0, but not to the optimizer.
+    zero = lambda *values: F.pmod(F.hash(*values), F.lit(1)).cast("bigint")
+    spread = F.when(absent, F.xxhash64(rows.columns[0])).otherwise(zero(*on.values()))
     asked = rows.select(
         "*", *(value.alias(key) for key, value in zip(keys, on.values())), spread.alias("_spread")
     )
     side = reference.select(
-        *(F.col(name).alias(key) for key, name in zip(keys, on)),
-        F.lit(0).cast("bigint").alias("_spread"),
-        *keep,
+        *(F.col(name).alias(key) for key, name in zip(keys, on)), zero(*on).alias("_spread"), *keep
     )
-    return asked.join(side, [*keys, "_spread"], "left").select(*rows.columns, *keep)
+    return asked.join(side, [*keys, "_spread"], how).select(*rows.columns, *keep)
 
 
 def join_aliases(rows: DataFrame, aliases: DataFrame | None, field: str = "series") -> DataFrame:

@@ -54,20 +54,20 @@ class JsonCatalog:
     spark: SparkSession
     root: str
 
-    def _lines(self, name: str, payload: str, key: str = "") -> DataFrame:
-        schema = key + schemas.columns(payload)
+    def _lines(self, name: str, payload: str, *keys: str) -> DataFrame:
+        schema = schemas.table_schema(payload, *keys)
         return self.spark.read.schema(schema).json(f"{self.root}/{name}")
 
     def shows(self) -> DataFrame:
         return show_columns(self._lines("shows", schemas.SHOW).select(F.struct("*").alias("show")))
 
     def seasons(self) -> DataFrame:
-        lines = self._lines("seasons", schemas.SEASON, "series_id INT, ord INT, ")
+        lines = self._lines("seasons", schemas.SEASON, "series_id: INT", "ord: INT")
         fields = [f for f in lines.columns if f not in ("series_id", "ord")]
         return season_columns(lines.select("series_id", "ord", F.struct(*fields).alias("item")))
 
     def episodes(self) -> DataFrame:
-        lines = self._lines("episodes", schemas.EPISODE, "series_id INT, ")
+        lines = self._lines("episodes", schemas.EPISODE, "series_id: INT")
         fields = [f for f in lines.columns if f != "series_id"]
         return episode_columns(lines.select("series_id", F.struct(*fields).alias("item")))
 

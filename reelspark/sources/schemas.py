@@ -5,6 +5,8 @@ Dates stay text, as the payloads have them; ``_links`` and the like are left out
 
 from __future__ import annotations
 
+from pyspark.sql.types import DataType, StructType
+
 # The field names of the catalogue's payloads.
 COUNTRY = "STRUCT<name: STRING, code: STRING, timezone: STRING>"
 CHANNEL = f"STRUCT<id: INT, name: STRING, country: {COUNTRY}, officialSite: STRING>"
@@ -33,6 +35,7 @@ SEARCH = f"ARRAY<STRUCT<score: DOUBLE, show: {SHOW}>>"
 MANIFEST = "path STRING, input_ord BIGINT, path_type STRING"
 
 
-def columns(struct: str) -> str:
-    """The inside of a STRUCT<…>: the same fields as a table schema."""
-    return struct[len("STRUCT<") : -1]
+def table_schema(payload: str, *keys: str) -> StructType:
+    """Schema of a table with the fields of a payload, behind key columns of its own."""
+    inside = payload[len("STRUCT<") : -1]
+    return DataType.fromDDL(f"STRUCT<{', '.join([*keys, inside])}>")
