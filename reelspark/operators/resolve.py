@@ -60,12 +60,24 @@ def join_local_ids(rows: DataFrame, ids: DataFrame, field: str = "series") -> Da
     return attach(rows, known, {"series_key": name_key(F.col(field))}, ["local_id"])
 
 
+def _distinct_names(rows: DataFrame, key: Column, name: str) -> DataFrame:
+    """The distinct keys that are neither null nor empty.
+
+    Tied to a count, the test stays above the grouping: pushed below it, the key, with all
+    the patterns behind it, would be computed for the test and then once more.
+    """
+    keys = rows.groupBy(key.alias(name)).agg(F.count("*").alias("_n"))
+    return keys.filter(F.when(F.col("_n") > 0, F.col(name)) != "").select(name)
+
+
 def series_keys(rows: DataFrame, field: str = "series") -> DataFrame:
     """The distinct series named in the rows, as lookup keys; unnamed rows name none."""
-    keys = rows.groupBy(name_key(F.col(field)).alias("series_key")).agg(F.count("*").alias("_n"))
-    # Tied to the count, the test stays above the grouping: pushed below it, the key, with
-    # all the patterns behind it, would be computed for the test and then once more.
-    return keys.filter(F.when(F.col("_n") > 0, F.col("series_key")) != "").select("series_key")
+    return _distinct_names(rows, name_key(F.col(field)), "series_key")
+
+
+def query_keys(queries: DataFrame, field: str = "query") -> DataFrame:
+    """The distinct queries, as search keys."""
+    return _distinct_names(queries, search_key(F.col(field)), "query_key")
 
 
 def unresolved_series(rows: DataFrame, ids: DataFrame, field: str = "series") -> DataFrame:
@@ -137,11 +149,8 @@ def _score(tag: Column, query: Column, name: Column) -> Column:
 
 def search_candidates(queries: DataFrame, index: DataFrame, field: str = "query") -> DataFrame:
     """Candidates of each distinct query: ``query_key, name_key, score, show_id, n_shows``."""
-    asked = (
-        queries.select(search_key(F.col(field)).alias("query_key"))
-        .filter(F.col("query_key") != "")
-        .distinct()
-        .withColumn("_signature", F.explode(_signatures("query_key", True)))
+    asked = query_keys(queries, field).withColumn(
+        "_signature", F.explode(_signatures("query_key", True))
     )
     offered = index.withColumn("_signature", F.explode(_signatures("name_key", False)))
     tag = F.substring("_signature", 1, 1)
@@ -168,11 +177,7 @@ def number_candidates(candidates: DataFrame, **options: int) -> DataFrame:
 
 def candidate_count(queries: DataFrame, candidates: DataFrame, field: str = "query") -> DataFrame:
     """Number of shows found per query and the branch it leads to: none, unique, ambiguous."""
-    asked = (
-        queries.select(search_key(F.col(field)).alias("query_key"))
-        .filter(F.col("query_key") != "")
-        .distinct()
-    )
+    asked = query_keys(queries, field)
     found = candidates.groupBy("query_key").agg(F.sum("n_shows").alias("n_shows"))
     n = F.coalesce("n_shows", F.lit(0).cast("bigint"))
     return asked.join(found, "query_key", "left").select(
@@ -207,8 +212,8 @@ def resolve_best(
         asked, index.withColumnRenamed("show_id", "_exact"), {"name_key": F.col("_query")}, ["_exact"]
     )
     left_over = F.when(F.col("_exact").isNull(), F.col("_query"))
-    rest = exact.filter(left_over.isNotNull())
-    near = top_candidate(search_candidates(rest, index, "_query")).withColumnRenamed("show_id", "_near")
+    rest = exact.select(left_over.alias("query"))
+    near = top_candidate(search_candidates(rest, index)).withColumnRenamed("show_id", "_near")
     return attach(exact, near, {"query_key": left_over}, ["_near"]).select(
         *names.columns, F.coalesce("_exact", "_near", F.lit(0)).alias("series_id")
     )

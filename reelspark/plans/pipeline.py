@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from reelspark.functions import paths
 from reelspark.operators import assign, enrich, planning, reports, resolve
 from reelspark.operators.infer import MATCHED, TV, MediaSpec, infer
+from reelspark.session import scratch_path
 from reelspark.sources.catalog import Catalog
 
 
@@ -78,9 +79,20 @@ def fetched(rows: DataFrame, reference: Reference, options: Options) -> DataFram
                 "fetch_status": F.lit(None).cast("string"),
             }
         )
-    return enrich.enrich(
-        rows, resolution(rows, reference), reference.catalog.episodes(), options.title_policy
-    )
+    known = written(resolution(rows, reference), "resolution")
+    return enrich.enrich(rows, known, reference.catalog.episodes(), options.title_policy)
+
+
+def written(table: DataFrame, label: str) -> DataFrame:
+    """The table, run now and kept as Parquet in the shared folder.
+
+    The names are then resolved once, whatever is lost or retried later, and the planner
+    knows the true size of the table when it chooses between broadcast and shuffle.
+    """
+    spark = table.sparkSession
+    path = scratch_path(spark, label)
+    table.write.parquet(path)
+    return spark.read.schema(table.schema).parquet(path)
 
 
 def infer_report(
@@ -103,7 +115,10 @@ def process(
     listing: DataFrame | None = None,
     spec: MediaSpec = TV,
 ) -> DataFrame:
-    """The whole run as one lazy plan: infer, alias, fetch, rename, organise, attributes.
+    """The whole run: infer, alias, fetch, rename, organise, attributes.
+
+    With fetching on, the distinct series are resolved at once and kept as a small table; all
+    the rest is one lazy plan.
 
     ``listing`` holds the paths that exist on disk. A file that cannot be planned keeps its
     row, with the first reason in ``status``; the others go on.
@@ -132,7 +147,10 @@ def process(
     moved = F.when(planned, paths.in_folder(folder, paths.base_name(current)))
     rows = rows.withColumn("organize_target", moved if options.organize else _none())
     if options.organize:
-        rows = planning.organize_action(rows, listing, options.simulate)
+        # Places are inside the library, so only what is there can be in the way.
+        inside = F.col("path").startswith(f"{options.library}/")
+        places = None if listing is None else listing.select("path").filter(inside)
+        rows = planning.organize_action(rows, places, options.simulate)
     else:
         rows = rows.withColumn("organize_action", _none())
 

@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelspark.operators import assign, enrich, planning, reports
+from reelspark.operators.infer import TV
 from reelspark.plans import pipeline
 from reelspark.plans.pipeline import Options, Reference
 from reelspark.plans.registry import processor
@@ -83,6 +84,15 @@ def test_process(manifest, reference, listing):
     assert targets[f"{IN}/nothing.mkv"][:2] == (None, None)
 
 
+def test_names_are_parsed_no_more_than_needed(manifest, reference, listing):
+    """Once for the rows, and once for the distinct series, whose grouping is used twice."""
+    plan = pipeline.process(manifest, reference, Options(), listing)
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count(r"S(\d{2})") == 1
+    rows = pipeline.named(manifest, reference, Options(), TV)
+    names = pipeline.resolution(rows, reference)
+    assert names._jdf.queryExecution().optimizedPlan().toString().count(r"S(\d{2})") == 2
+
+
 def test_claims_are_unique(manifest, reference, listing):
     plan = pipeline.process(manifest, reference, Options(), listing)
     for target, action, word in (("rename_target", "rename_action", "rename"), ("organize_target", "organize_action", "move")):
