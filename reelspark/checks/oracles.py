@@ -410,8 +410,8 @@ REFERENCES = {
 def _strip_tags_sql() -> str:
     tags = r"(?is)<!--.*?-->|<script\b[^>]*>(.*?)</script\s*>|<style\b[^>]*>(.*?)</style\s*>|<[a-z/!?][^>]*>"
     out = f"regexp_replace(html, '{tags}', '\\1\\2', 'g')"
-    for ref, char in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "''"), ("&nbsp;", " "), ("&amp;", "&")):
-        out = f"replace({out}, '{ref}', '{char}')"
+    for reference, code in REFERENCES.items():
+        out = f"replace({out}, '&{reference};', chr({code}))"
     return f'select page_id, {out} "text" from pages'
 
 
