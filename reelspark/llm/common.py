@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import gc
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -25,20 +24,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def written(df: DataFrame, label: str) -> DataFrame:
-    """The same rows, written once to the shared folder and read back: lineage ends here."""
-    path = scratch_path(ship(df.sparkSession), label)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+#: Drops the shuffle files of a statement when it ends.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark drop the shuffle files of finished steps now: its cleaner acts when the driver collects garbage.
+def written(df: DataFrame, label: str) -> DataFrame:
+    """The same rows, written once to the shared folder and read back: lineage ends here.
 
-    For steps whose result is a written table; nothing depends on their shuffles any more.
+    The shuffle files of the write go with it, since nothing reads them again.
     """
-    gc.collect()
-    spark._jvm.System.gc()
+    spark = ship(df.sparkSession)
+    path, before = scratch_path(spark, label), spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(df: DataFrame) -> None:
