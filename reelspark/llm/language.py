@@ -58,6 +58,8 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for lang, texts in batch.groupby("lang")["text"]:
             whole = [grams(t) for t in texts]
             keys, place = np.unique(np.concatenate([k for k, _ in whole]), return_inverse=True)
+            if not len(keys):
+                continue
             sums = np.zeros(len(keys), np.int64)
             np.add.at(sums, place, np.concatenate([c for _, c in whole]))
             yield pd.DataFrame({"lang": lang, "gram": keys.view(np.int64), "n": sums})

@@ -45,6 +45,8 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for text, y in zip(batch["text"], batch["y"]):
             (toxic if y else other).update(terms(text))
         keys = list(toxic.keys() | other.keys())
+        if not keys:
+            continue
         yield pd.DataFrame({"term": keys, "toxic": [toxic[k] for k in keys], "other": [other[k] for k in keys]})
 
 
