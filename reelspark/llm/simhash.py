@@ -124,14 +124,14 @@ def near_links(prints: DataFrame, distance: int = DISTANCE, zones: int = ZONES,
     keyed = (
         prints.select("fp", embedded.alias("embedded")).select("fp", F.explode(cells).alias("c")).select("fp", "c.part", "c.key")
     )
-    sizes = keyed.groupBy("part", "key").agg(F.count("*").alias("n")).where("n > 1")
-    lanes = F.ceil(F.col("n") / F.lit(cell)).cast("int")
+    large = keyed.groupBy("part", "key").agg(F.count("*").alias("n")).where(F.col("n") > cell)
+    lanes = F.coalesce(F.ceil(F.col("n") / F.lit(cell)), F.lit(1)).cast("int")
     own = F.pmod(F.xxhash64("fp"), F.col("lanes")).cast("int")
     other = F.when(F.col("lanes") == 1, F.array(F.lit(0))).otherwise(
         F.array_remove(F.sequence(F.lit(0), F.col("lanes") - 1), F.col("own"))
     )
     placed = (
-        keyed.join(sizes, ["part", "key"])
+        keyed.join(large, ["part", "key"], "left")
         .withColumn("lanes", lanes)
         .withColumn("own", own)
         .select("part", "key", "fp", "own", F.explode(other).alias("other"))
