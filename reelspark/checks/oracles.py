@@ -134,7 +134,7 @@ VIEWS = {
     "o_named": f"""
 select path, input_ord, path_type, request_id, shape,
   {title("trim(replace(coalesce(series_part, ''), '.', ' '))")} series,
-  coalesce(try_cast(season_part as int), 0) season, coalesce(try_cast(episode_part as int), 0) episode,
+  coalesce(try_cast(season_part as bigint), 0) season, coalesce(try_cast(episode_part as bigint), 0) episode,
   {caps(untag("trim(replace(coalesce(title_part, ''), '.', ' '))"))} title,
   case when shape is null then 'NO_MATCH' else 'MATCHED' end infer_status
 from o_parts""",
@@ -221,8 +221,8 @@ select query, cast(n as bigint) number, cast({j('score', 'hit')} as double) scor
 from (select query, unnest(hits) hit, unnest(range(1, len(hits) + 1)) n
   from (select query, json_extract(payload, '$[*]') hits from search_payloads))""",
     "o_season_text": f"""
-select series_id, season, cast(1 as int) part, string_agg(txt, chr(10) || chr(10) order by episode, episode_id) "text"
-from (select series_id, season, episode, episode_id, {EPISODE_TEXT} txt from o_episodes) group by 1, 2""",
+select series_id, season, row_number() over (partition by series_id, season order by episode, episode_id) idx,
+  {EPISODE_TEXT} "text" from o_episodes""",
     "o_requests": """
 select r.*, case when series <> '' and series_id <> 0 then 'series_and_series_id'
     when series = '' and series_id = 0 then 'no_series' when episode <> 0 and season = 0 then 'episode_without_season' end reason
@@ -254,10 +254,11 @@ from (select f.path, a.request_id, a.series, a.series_id, a.season, a.episode, c
 select path, request_id, cast(row_number() over (partition by request_id order by
   coalesce(try_cast(regexp_extract(filename, '^[0-9]+') as hugeint), 0), filename, path) as bigint) idx from files""",
     "o_season_files": f"""
-select request_id, path, series, series_id, season, episode, title, {TARGET} rename_target, 'paired' status
+select request_id, path, series, series_id, season, episode, title, case when episode is not null then {TARGET} end rename_target,
+  case when episode is null then 'no_episode_left' else 'paired' end status
 from (select f.path, a.request_id, a.series, a.series_id, a.season, e.episode, e.title
   from o_accepted a join o_placed f using (request_id)
-  join (select *, row_number() over (partition by series_id, season order by episode, episode_id) idx from o_episodes) e
+  left join (select *, row_number() over (partition by series_id, season order by episode, episode_id) idx from o_episodes) e
     on e.series_id = a.series_id and e.season = a.season and e.idx = f.idx
   where a.reason is null and a.episode = 0)""",
 }
@@ -275,8 +276,8 @@ def _queries() -> dict[str, str]:
     q["scan_catalog_seasons"] = "select * from o_seasons"
     q["scan_catalog_episodes"] = "select *, cast(airdate as date) air_date from o_episodes"
     q["scan_search_results"] = "select query, number, score, show_id, name from o_hits"
-    q["raw_payload"] = """select series_id, season, episode, to_json({'series_id': series_id, 'season': season,
-        'episode': episode, 'episode_id': episode_id, 'title': title}) "text" from o_episodes"""
+    q["raw_payload"] = f"""select series_id, cast({j('season')} as int) season, cast({j('number')} as int) episode,
+        payload "text" from episode_payloads"""
     q["sink_plan"] = q["process"] = q["stream_plan"] = "select * from o_process"
     q["merge_series_ids"] = """select * from o_ids union all
         select series_key, series_id from o_resolution where id_source = 'search'"""
@@ -340,11 +341,13 @@ def _queries() -> dict[str, str]:
     q["enrich"] = "select path, series_id, id_source, title, fetch_status from o_fetched"
     q["apply_single"] = "select * from o_single"
     q["apply_season"] = "select * from o_season_files"
-    q["apply"] = "select * from o_single union all select * from o_season_files"
+    q["apply"] = """select * from o_single union all select * from o_season_files
+        union all select a.request_id, f.path, a.series, a.series_id, a.season, a.episode, null, null, a.reason
+        from o_accepted a join files f using (request_id) where a.reason is not null"""
     q["candidate_count"] = """select query_key, cast(coalesce(sum(n_shows), 0) as bigint) n_shows,
           case coalesce(sum(n_shows), 0) when 0 then 'none' when 1 then 'unique' else 'ambiguous' end outcome
         from o_query_keys left join o_search_pairs using (query_key) group by 1"""
-    q["season_report"] = 'select series_id, season, part, "text" from o_season_text'
+    q["season_report"] = 'select series_id, season, idx, "text" from o_season_text'
     q["overlay_aliases"] = "select * from o_aliases"
     q["outcome_counts"] = """select stage, status, count(*) n from (
           select 'infer' stage, infer_status status from o_process union all select 'alias', alias_status from o_process
@@ -355,7 +358,7 @@ def _queries() -> dict[str, str]:
     q["number_candidates"] = f"select query_key, name_key, score, show_id, cast({ranked} as bigint) number from o_search_pairs"
     q["top1_per_query"] = f"select query_key, name_key, score, show_id from (select *, {ranked} n from o_search_pairs) where n = 1"
     q["pick_nth"] = """select c.query, cast(choice as bigint) choice, coalesce(show_id, 0) series_id,
-        case when number is null then 'invalid_choice' else 'picked' end status
+        case when number is null then 'invalid_choice' when show_id is null then 'no_show' else 'picked' end status
         from choices c left join o_hits h on h.query = c.query and number = choice"""
     q["dest_conflicts"] = f"""select path, target, case when row_number() over (partition by target order by input_ord, path) = 1
         then 'first' else 'conflict' end claim from (select path, input_ord, concat('/library/', series, '/Season ',
@@ -366,8 +369,8 @@ def _queries() -> dict[str, str]:
     q["natural_sort"] = """select filename, path, cast(row_number() over (order by
         coalesce(try_cast(regexp_extract(filename, '^[0-9]+') as hugeint), 0), filename, path) as bigint) "rank"
         from (select * replace (concat(cast(true_episode as varchar), case when true_title = '' then '' else ' ' || true_title end, '.mkv') as filename) from files)"""
-    q["first_or_default"] = """select h.query, coalesce(arg_min(show_id, number) filter (where show_id is not null), 0) series_id
-        from o_hits h group by 1"""
+    q["first_or_default"] = """select p.query, coalesce(arg_min(show_id, number) filter (where show_id is not null), 0) series_id
+        from search_payloads p left join o_hits h on h.query = p.query group by 1"""
     letters, others = r"[\p{Lu}\p{Ll}]", r"[^\p{Lu}\p{Ll}]"
     q["title_case"] = f"select doc_id, {title('text', letters, others)} titled from documents"
     q["cap_words"] = f"select doc_id, {caps('text')} capped from documents"
@@ -390,10 +393,10 @@ def _queries() -> dict[str, str]:
     q["stream_dedup"] = "select distinct path from files"
     q["infer_report"] = "select path, series, series_id, season, episode, title, display_name, infer_status, fetch_status from o_errors"
     q["fetch_report"] = f"""
-        select request_id, granularity, 1 part, txt "text", case when txt is null then 'episode_not_found' else 'ok' end status
+        select request_id, granularity, cast(1 as bigint) part, txt "text", case when txt is null then 'episode_not_found' else 'ok' end status
         from o_dispatch d left join (select series_id, season, episode, {EPISODE_TEXT} txt from o_episodes) e
           on e.series_id = found_id and e.season = d.season and e.episode = d.episode where granularity = 'episode'
-        union all select request_id, granularity, 1, t."text", case when t."text" is null then 'season_not_found' else 'ok' end
+        union all select request_id, granularity, coalesce(t.idx, 1), t."text", case when t."text" is null then 'season_not_found' else 'ok' end
         from o_dispatch d left join o_season_text t on t.series_id = found_id and t.season = d.season where granularity = 'season'
         union all select request_id, granularity, 1, txt, case when txt is null then 'series_not_found' else 'ok' end
         from o_dispatch d left join (select show_id, {SERIES_TEXT} txt from o_shows) on show_id = found_id where granularity = 'series'
@@ -408,7 +411,7 @@ REFERENCES = {
 
 
 def _strip_tags_sql() -> str:
-    tags = r"(?is)<!--.*?-->|<script\b[^>]*>(.*?)</script\s*>|<style\b[^>]*>(.*?)</style\s*>|<[a-z/!?][^>]*>"
+    tags = r"(?is)<!--.*?-->|<script\b[^>]*>(.*?)</script\s*>|<style\b[^>]*>(.*?)</style\s*>|<[a-z/!?](?:[^>\"'']|\"[^\"]*\"|''[^'']*'')*>|<[a-z/!?][^>]*>"
     out = f"regexp_replace(html, '{tags}', '\\1\\2', 'g')"
     for reference, code in REFERENCES.items():
         out = f"replace({out}, '&{reference};', chr({code}))"

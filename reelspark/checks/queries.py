@@ -164,10 +164,7 @@ def scan_search_results(i: Inputs) -> DataFrame:
 
 @register
 def raw_payload(i: Inputs) -> DataFrame:
-    record = F.struct("series_id", "season", "episode", "episode_id", "title")
-    return i.payload_catalog().episodes().select(
-        "series_id", "season", "episode", catalog.raw_payload(record).alias("text")
-    )
+    return catalog.raw_episodes(i["episode_payloads"])
 
 
 @register
@@ -489,7 +486,7 @@ def natural_sort(i: Inputs) -> DataFrame:
 @register
 def first_or_default(i: Inputs) -> DataFrame:
     hits = i.hits().select("query", "number", F.col("show.id").alias("series_id"))
-    return enrich.first_or_default(hits, ["query"], ["number"], "series_id")
+    return enrich.first_or_default(hits, ["query"], ["number"], "series_id", i["search_payloads"])
 
 
 # Functions ------------------------------------------------------------------------------

@@ -26,6 +26,7 @@ _MARKUP = (
     r"(?is)<!--.*?-->"
     r"|<script\b[^>]*>(.*?)</script\s*>"
     r"|<style\b[^>]*>(.*?)</style\s*>"
+    r"|<[a-z/!?](?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>"  # a quoted value may hold a ">"
     r"|<[a-z/!?][^>]*(?:>|\z)"
 )
 

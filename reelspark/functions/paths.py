@@ -42,11 +42,17 @@ def display_name(series: Column, season: Column, episode: Column, title: Column)
     )
 
 
+def is_one_name(name: Column) -> Column:
+    """Can it name one file or folder? A slash would make it a path."""
+    return ~F.coalesce(F.contains(name, F.lit("/")), F.lit(False))
+
+
 def target_dir(library: Column, series: Column, season: Column) -> Column:
-    """``library/Series/Season SS``."""
-    return F.format_string("%s/%s/Season %02d", library, series, season)
+    """``library/Series/Season SS``; null for a series with a slash in it."""
+    return F.when(is_one_name(series), F.format_string("%s/%s/Season %02d", library, series, season))
 
 
 def rename_target(path: Column, display: Column) -> Column:
-    """The display name in the same folder, with the old suffix."""
-    return in_folder(parent(path), F.concat(display, suffix(base_name(path))))
+    """The display name in the same folder, with the old suffix; null for a name with a slash in it."""
+    name = F.concat(display, suffix(base_name(path)))
+    return F.when(is_one_name(display), in_folder(parent(path), name))

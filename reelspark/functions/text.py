@@ -68,10 +68,10 @@ def strip_release_tags(text: Column, strict: bool = False) -> Column:
 
 
 def whole_number(text: Column) -> Column:
-    """Digits to INT, 0 where there are none; digits of other scripts count as well."""
+    """Digits to BIGINT, 0 where there are none; digits of other scripts count as well."""
     other, ascii_ = _digits()
     latin = F.when(text.rlike("[^0-9]"), F.translate(text, other, ascii_)).otherwise(text)
-    return F.coalesce(latin.try_cast("int"), F.lit(0))
+    return F.coalesce(latin.try_cast("bigint"), F.lit(0).cast("bigint"))
 
 
 def normalize_series(text: Column) -> Column:

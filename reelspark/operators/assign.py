@@ -69,37 +69,37 @@ def apply_single(files: DataFrame, requests: DataFrame, episodes: DataFrame) ->
     return _renamed(titled.withColumn("title", title), known, F.col("fetch_status"))
 
 
-def apply_ordinals(files: DataFrame, **options: int) -> DataFrame:
+def apply_ordinals(files: DataFrame) -> DataFrame:
     """Position of each file in its request, in natural order."""
     order = [*natural_key(paths.base_name(F.col("path"))), F.col("path")]
-    return number_rows(files, order, ["request_id"], "idx", **options)
+    return number_rows(files, order, ["request_id"], "idx")
 
 
-def episode_ordinals(episodes: DataFrame, **options: int) -> DataFrame:
+def episode_ordinals(episodes: DataFrame) -> DataFrame:
     """Position of each episode in its season."""
     order = [F.col("episode"), F.col("episode_id")]
-    return number_rows(episodes, order, ["series_id", "season"], "idx", **options)
+    return number_rows(episodes, order, ["series_id", "season"], "idx")
 
 
-def apply_season(
-    files: DataFrame, requests: DataFrame, episodes: DataFrame, **options: int
-) -> DataFrame:
-    """The i-th file of a request gets the i-th episode of its season; the shorter list decides.
+def apply_season(files: DataFrame, requests: DataFrame, episodes: DataFrame) -> DataFrame:
+    """The i-th file of a request gets the i-th episode of its season.
 
-    Both sides are numbered first and meet on (series, season, position), a key that is
+    A file beyond the last episode keeps its row, without a target, as ``no_episode_left``. Both sides are numbered first and meet on (series, season, position), a key that is
     unique on the episode side: no list is paired with another inside one task.
     """
     wanted = ["series", "series_id", "season"]
     chosen = attach(
         files, requests.filter(~given("episode")), {"request_id": F.col("request_id")}, wanted, "inner"
     )
-    placed = apply_ordinals(chosen, **options)
+    placed = apply_ordinals(chosen)
     listed = episode_ordinals(
-        episodes.select("series_id", "season", "episode", "episode_id", "title"), **options
+        episodes.select("series_id", "season", "episode", "episode_id", "title")
     )
-    paired = placed.join(listed, ["series_id", "season", "idx"])
-    title = F.coalesce("title", F.lit(""))
-    return _renamed(paired.withColumn("title", title), F.lit(True), F.lit("paired"))
+    paired = placed.join(listed, ["series_id", "season", "idx"], "left")
+    found = F.col("episode_id").isNotNull()
+    title = F.when(found, F.coalesce("title", F.lit("")))
+    status = F.when(found, "paired").otherwise("no_episode_left")
+    return _renamed(paired.withColumn("title", title), found, status)
 
 
 def _renamed(rows: DataFrame, done: Column, status: Column) -> DataFrame:

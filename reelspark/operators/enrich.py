@@ -56,10 +56,18 @@ def season_id(rows: DataFrame, seasons: DataFrame) -> DataFrame:
     return joined.withColumn("season_id", F.coalesce("season_id", F.lit(0)))
 
 
-def first_or_default(rows: DataFrame, key: list[str], order: list[str], value: str) -> DataFrame:
-    """First value of each key in the given order, 0 where the key has only nulls."""
+def first_or_default(
+    rows: DataFrame, key: list[str], order: list[str], value: str, asked: DataFrame | None = None
+) -> DataFrame:
+    """First value of each key in the given order, 0 where the key has only nulls.
+
+    ``asked`` holds all keys; those without any row get 0 as well.
+    """
     first = F.min(F.when(F.col(value).isNotNull(), F.struct(*order, value)))[value]
-    return rows.groupBy(*key).agg(F.coalesce(first, F.lit(0)).alias(value))
+    found = rows.groupBy(*key).agg(first.alias(value))
+    if asked is not None:
+        found = asked.select(*key).distinct().join(found, key, "left")
+    return found.select(*key, F.coalesce(value, F.lit(0)).alias(value))
 
 
 def episode_index(episodes: DataFrame) -> DataFrame:

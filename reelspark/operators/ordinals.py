@@ -7,71 +7,54 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelspark.session import shared_dir
-
-# A group with more rows than this is numbered across many tasks.
-GROUP_ROWS = 1_000_000
+from reelspark.session import scratch_path
 
 # Sub-groups per claimed target; see first_claims.
 LANES = 1024
 
 
 def number_rows(
-    rows: DataFrame,
-    order: Sequence[Column],
-    within: Sequence[str] = (),
-    name: str = "ordinal",
-    group_rows: int = GROUP_ROWS,
+    rows: DataFrame, order: Sequence[Column], within: Sequence[str] = (), name: str = "ordinal"
 ) -> DataFrame:
     """Adds the 1-based position (BIGINT) of each row in its group, or overall.
 
-    ``order`` must end in a key that is unique in the group. Groups of up to ``group_rows``
-    rows take an ordinary window. Larger ones, found by a pre-aggregated count, are sorted
-    across the cluster and numbered from the start of their group; there are at most
-    rows / ``group_rows`` of them, and no row is dropped or capped.
+    ``order`` must end in a key that is unique in the group. Whatever the size of a group, rows
+    are sorted across the cluster by group and order; a row's number is its place in that sort
+    less the place where its group begins, which is a partial aggregate.
     """
+    placed = _positions(rows, [*map(F.col, within), *order])
     if not within:
-        return _positions(rows, order).withColumnRenamed("_position", name)
-
-    large = (
-        rows.groupBy(*(F.col(c).alias(f"_{c}") for c in within))
-        .agg(F.count("*").alias("_rows"))
-        .filter(F.col("_rows") > group_rows)
-        .drop("_rows")
-    )
-    window = Window.partitionBy(*within).orderBy(*order)
-    number = F.row_number().over(window).cast("bigint")
-    if large.isEmpty():
-        return rows.withColumn(name, number)
-
+        return placed.withColumnRenamed("_position", name)
+    starts = placed.groupBy(*(F.col(c).alias(f"_{c}") for c in within)).agg(F.min("_position").alias("_start"))
     same = None
     for c in within:
         test = F.col(c).eqNullSafe(F.col(f"_{c}"))
         same = test if same is None else same & test
-    usual = rows.join(large, same, "left_anti").withColumn(name, number)
-    spread = _positions(rows.join(large, same, "left_semi"), [*map(F.col, within), *order])
-    starts = spread.groupBy(*(F.col(c).alias(f"_{c}") for c in within)).agg(
-        F.min("_position").alias("_start")
-    )
-    numbered = (
-        spread.join(starts, same, "inner")
+    return (
+        placed.join(starts, same, "inner")
         .withColumn(name, F.col("_position") - F.col("_start") + 1)
         .drop("_position", "_start", *(f"_{c}" for c in within))
     )
-    return usual.unionByName(numbered)
+
+
+def _kept(rows: DataFrame, label: str) -> DataFrame:
+    path = scratch_path(rows.sparkSession, label)
+    rows.write.parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def _positions(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
     """Adds ``_position``: the 1-based place in the order over all rows.
 
-    A range-partitioned sort gives each task a stretch of the order; the checkpoint pins it,
-    so a lost executor cannot shift rows between stretches. The lengths of the stretches
-    (one small row per partition) turn into offsets.
+    The rows are written first, so that sampling for the sort does not work them out again.
+    A range-partitioned sort gives each task a stretch of the order; it is written too, so a lost
+    executor cannot shift rows between stretches. The lengths of the stretches (one small row per
+    partition) turn into offsets.
     """
     spark = rows.sparkSession
-    shared_dir(spark)
     in_task = 33  # monotonically_increasing_id: partition number above, row number below
-    ordered = rows.orderBy(*order).withColumn("_row", F.monotonically_increasing_id()).checkpoint()
+    given = _kept(rows, "given")
+    ordered = _kept(given.orderBy(*order).withColumn("_row", F.monotonically_increasing_id()), "ordered")
     lengths = (
         ordered.groupBy(F.shiftright("_row", in_task).alias("_stretch"))
         .agg(F.count("*").alias("_length"))

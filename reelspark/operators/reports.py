@@ -9,10 +9,6 @@ from reelspark.functions.labels import episode_text, series_text
 from reelspark.operators.assign import episode_ordinals
 from reelspark.operators.enrich import episode_index
 
-# A season report holds this many episodes per row; longer seasons go on in further parts.
-PART_EPISODES = 1000
-
-
 def series_report(shows: DataFrame) -> DataFrame:
     return shows.select(F.col("show_id").alias("series_id"), series_text(F.col("show")).alias("text"))
 
@@ -28,18 +24,17 @@ def episode_report(episodes: DataFrame) -> DataFrame:
     )
 
 
-def season_report(episodes: DataFrame, part_episodes: int = PART_EPISODES, **options: int) -> DataFrame:
-    """All episode texts of a season in order, a blank line between: ``part`` 1 holds them.
+def season_report(episodes: DataFrame) -> DataFrame:
+    """The episode texts of each season, one row per episode; ``idx`` gives their order."""
+    return episode_ordinals(episodes).select("series_id", "season", "idx", _episode_text().alias("text"))
+
 
-    A season of more than ``part_episodes`` continues in parts 2, 3, …, joined by the same
-    blank line, so no row collects a group of unknown size.
-    """
-    placed = episode_ordinals(episodes, **options)
-    part = F.floor((F.col("idx") - 1) / part_episodes).cast("int") + 1
+def season_text(episodes: DataFrame) -> DataFrame:
+    """A season as one text, a blank line between episodes: for readers who want one row per season."""
     lines = F.array_sort(F.collect_list(F.struct("idx", "text")))
     return (
-        placed.select("series_id", "season", "idx", part.alias("part"), _episode_text().alias("text"))
-        .groupBy("series_id", "season", "part")
+        season_report(episodes)
+        .groupBy("series_id", "season")
         .agg(lines.alias("_lines"))
-        .select("series_id", "season", "part", F.array_join("_lines.text", "\n\n").alias("text"))
+        .select("series_id", "season", F.array_join("_lines.text", "\n\n").alias("text"))
     )

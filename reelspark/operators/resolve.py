@@ -169,10 +169,10 @@ def search_candidates(queries: DataFrame, index: DataFrame, field: str = "query"
     )
 
 
-def number_candidates(candidates: DataFrame, **options: int) -> DataFrame:
+def number_candidates(candidates: DataFrame) -> DataFrame:
     """Adds ``number``: the 1-based option number of each candidate, best first."""
     order = [F.col("score").desc(), F.col("show_id").asc(), F.col("name_key").asc()]
-    return number_rows(candidates, order, ["query_key"], "number", **options)
+    return number_rows(candidates, order, ["query_key"], "number")
 
 
 def candidate_count(queries: DataFrame, candidates: DataFrame, field: str = "query") -> DataFrame:
@@ -235,8 +235,9 @@ def resolve_series(keys: DataFrame, ids: DataFrame, index: DataFrame) -> DataFra
 
 
 def pick_nth(options: DataFrame, choices: DataFrame) -> DataFrame:
-    """The option a choice names, by number; a number that is not offered is ``invalid_choice``.
+    """The option a choice names, by number.
 
+    A number that is not offered is ``invalid_choice``; an option without a show is ``no_show``.
     ``options``: query, number, show; ``choices``: query, choice.
     """
     offered = options.select(
@@ -248,5 +249,8 @@ def pick_nth(options: DataFrame, choices: DataFrame) -> DataFrame:
     return picked.select(
         "query", "choice",
         F.coalesce("show_id", F.lit(0)).alias("series_id"),
-        F.when(F.col("_hit"), "picked").otherwise("invalid_choice").alias("status"),
+        F.when(F.col("_hit").isNull(), "invalid_choice")
+        .when(F.col("show_id").isNull(), "no_show")
+        .otherwise("picked")
+        .alias("status"),
     )

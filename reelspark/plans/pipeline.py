@@ -29,6 +29,9 @@ class Options:
     group: str | None = None
     title_policy: str = "overwrite"
 
+    def __post_init__(self) -> None:
+        object.__setattr__(self, "library", self.library.rstrip("/"))
+
     @classmethod
     def of(cls, general: dict, *sections: dict) -> Options:
         """Options of a media type: its own section over the general one."""
@@ -98,9 +101,14 @@ def written(table: DataFrame, label: str) -> DataFrame:
 def infer_report(
     files: DataFrame, reference: Reference, options: Options | None = None, spec: MediaSpec = TV
 ) -> DataFrame:
-    """Infer and fetch only: the display name of each file. Nothing is planned."""
+    """Infer and fetch only: the display name of each file. Nothing is planned.
+
+    With fetching on, the parsed names are kept as Parquet: the distinct series and the rows
+    both come from them, so that every name is parsed once.
+    """
     options = options or Options()
-    rows = fetched(named(files, reference, options, spec), reference, options)
+    rows = named(files, reference, options, spec)
+    rows = fetched(written(rows, "named") if options.fetch else rows, reference, options)
     return rows.withColumn("display_name", _display(spec))
 
 
@@ -117,8 +125,8 @@ def process(
 ) -> DataFrame:
     """The whole run: infer, alias, fetch, rename, organise, attributes.
 
-    With fetching on, the distinct series are resolved at once and kept as a small table; all
-    the rest is one lazy plan.
+    With fetching on, names are parsed and the distinct series resolved at once, and kept as
+    tables; all the rest is one lazy plan.
 
     ``listing`` holds the paths that exist on disk. A file that cannot be planned keeps its
     row, with the first reason in ``status``; the others go on.
@@ -130,6 +138,7 @@ def process(
         F.when(F.col("file_status").isin("empty_path", "missing"), F.col("file_status"))
         .when(F.col("infer_status") != MATCHED, F.col("infer_status"))
         .when(failed, F.col("fetch_status"))
+        .when(~paths.is_one_name(F.col("display_name")), "invalid_name")
     )
     rows = rows.withColumn("_error", error)
     planned = F.col("_error").isNull()
@@ -202,22 +211,27 @@ def dispatch(requests: DataFrame, reference: Reference) -> DataFrame:
     )
 
 
-def fetch_report(requests: DataFrame, reference: Reference, **options: int) -> DataFrame:
+def fetch_report(requests: DataFrame, reference: Reference) -> DataFrame:
     """The text each lookup request asks for: ``request_id, granularity, part, text, status``.
 
-    Season texts are made only for seasons some request asks for.
+    A season is one row per episode, ``part`` giving their order; all else is part 1. Season
+    texts are made only for seasons some request asks for. Requests are checked and resolved
+    once, and kept as a table.
     """
     catalog = reference.catalog
-    routed = dispatch(requests, reference).select(
-        "request_id", "reason", F.col("found_id").alias("series_id"), "season", "episode", "granularity"
+    routed = written(
+        dispatch(requests, reference).select(
+            "request_id", "reason", F.col("found_id").alias("series_id"), "season", "episode", "granularity"
+        ),
+        "routed",
     )
     only = lambda kind: routed.filter(F.col("granularity") == kind)
 
     wanted = only("season").select("series_id", "season").distinct()
     episodes = catalog.episodes()
     seasons = reports.season_report(
-        episodes.join(wanted, ["series_id", "season"], "left_semi"), **options
-    )
+        episodes.join(wanted, ["series_id", "season"], "left_semi")
+    ).withColumnRenamed("idx", "part")
     answers = [
         only("episode").join(reports.episode_report(episodes), ["series_id", "season", "episode"], "left"),
         only("season").join(seasons, ["series_id", "season"], "left"),
@@ -231,7 +245,7 @@ def fetch_report(requests: DataFrame, reference: Reference, **options: int) -> D
         text = F.col("text") if "text" in answer.columns else _none()
         one = answer.select(
             "request_id", "granularity",
-            F.coalesce(part, F.lit(1)).alias("part"), text.alias("text"),
+            F.coalesce(part, F.lit(1)).cast("bigint").alias("part"), text.alias("text"),
             F.when(F.col("granularity") == "none", refused)
             .when(text.isNull(), F.concat(F.col("granularity"), F.lit("_not_found")))
             .otherwise("ok")
@@ -255,15 +269,25 @@ def accepted_assignments(requests: DataFrame, files: DataFrame, reference: Refer
     return found.withColumn("reason", F.coalesce("reason", unknown))
 
 
-def apply(
-    files: DataFrame, requests: DataFrame, reference: Reference, **options: int
-) -> DataFrame:
+def apply(files: DataFrame, requests: DataFrame, reference: Reference) -> DataFrame:
     """Assignments to files: single episodes by number, seasons by position. Never organises.
 
-    ``requests``: request_id, series, season, episode; ``files``: request_id, path.
+    ``requests``: request_id, series, season, episode; ``files``: request_id, path. Requests are
+    checked and resolved once, and kept as a table. Every assigned file keeps a row: files of
+    refused requests have the reason as their status and no target.
     """
-    accepted = accepted_assignments(requests, files, reference).filter(F.col("reason").isNull())
+    checked = written(accepted_assignments(requests, files, reference), "assignments")
+    accepted = checked.filter(F.col("reason").isNull())
     episodes = reference.catalog.episodes()
-    return assign.apply_single(files, accepted, episodes).unionByName(
-        assign.apply_season(files, accepted, episodes, **options)
+    refused = resolve.attach(
+        files, checked.filter(F.col("reason").isNotNull()), {"request_id": F.col("request_id")},
+        ["series", "series_id", "season", "episode", "reason"], "inner",
+    ).select(
+        "request_id", "path", "series", "series_id", "season", "episode", _none().alias("title"),
+        _none().alias("rename_target"), F.col("reason").alias("status"),
+    )
+    return (
+        assign.apply_single(files, accepted, episodes)
+        .unionByName(assign.apply_season(files, accepted, episodes))
+        .unionByName(refused)
     )

@@ -138,6 +138,12 @@ def parse_search_results(payloads: DataFrame, payload: str = "payload") -> DataF
     )
 
 
-def raw_payload(row: Column) -> Column:
-    """The untouched record as JSON text."""
-    return F.to_json(row)
+def raw_episodes(payloads: DataFrame) -> DataFrame:
+    """Episode records as they came, beside what they are looked up by.
+
+    ``payloads``: series_id, payload (one JSON record).
+    """
+    number = lambda field: F.get_json_object("payload", f"$.{field}").try_cast("int")
+    return payloads.select(
+        "series_id", number("season").alias("season"), number("number").alias("episode"), F.col("payload").alias("text")
+    )

@@ -42,17 +42,27 @@ def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     )
 
 
-def alias_table(pairs: DataFrame) -> DataFrame:
-    """``variant, preferred`` pairs with the lookup key of the variant."""
-    return pairs.select(name_key(F.col("variant")).alias("variant_key"), "preferred")
+def alias_table(pairs: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
+    """``variant, preferred`` pairs as ``variant_key, preferred``, one row per key.
+
+    Variants that differ in case or blanks are one key; the last of them by the ``order`` columns
+    holds, and the greatest spelling where nothing orders them.
+    """
+    keyed = pairs.select(*order, name_key(F.col("variant")).alias("variant_key"), "preferred")
+    return overlay(keyed, "variant_key", "preferred", list(order))
 
 
-def series_id_table(pairs: DataFrame) -> DataFrame:
-    """``series, id`` pairs as ``series_key, series_id``; an unreadable ID counts as unknown (0)."""
-    return pairs.select(
+def series_id_table(pairs: DataFrame, order: tuple[str, ...] = ()) -> DataFrame:
+    """``series, id`` pairs as ``series_key, series_id``, one row per key, the last by ``order``.
+
+    An unreadable ID counts as unknown (0).
+    """
+    keyed = pairs.select(
+        *order,
         name_key(F.col("series")).alias("series_key"),
         F.coalesce(F.col("id").try_cast("int"), F.lit(0)).alias("series_id"),
     )
+    return overlay(keyed, "series_key", "series_id", list(order))
 
 
 def overlay(layers: DataFrame, key: str, value: str, order: list[str]) -> DataFrame:

@@ -44,7 +44,7 @@ def test_release_tags(spark):
 
 def test_whole_number(spark):
     values = ["0304", "7", "", None, "٣", "x", "99999999999999"]
-    assert column(spark, values, text.whole_number) == [304, 7, 0, 0, 3, 0, 0]
+    assert column(spark, values, text.whole_number) == [304, 7, 0, 0, 3, 0, 99999999999999]
 
 
 def test_url_quote_is_quote_plus(spark):

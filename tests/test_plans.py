@@ -85,12 +85,11 @@ def test_process(manifest, reference, listing):
 
 
 def test_names_are_parsed_no_more_than_needed(manifest, reference, listing):
-    """Once for the rows, and once for the distinct series, whose grouping is used twice."""
+    """Once, for the table that the rows and the distinct series are both read from."""
     plan = pipeline.process(manifest, reference, Options(), listing)
-    assert plan._jdf.queryExecution().optimizedPlan().toString().count(r"S(\d{2})") == 1
+    assert plan._jdf.queryExecution().optimizedPlan().toString().count(r"S(\d{2})") == 0
     rows = pipeline.named(manifest, reference, Options(), TV)
-    names = pipeline.resolution(rows, reference)
-    assert names._jdf.queryExecution().optimizedPlan().toString().count(r"S(\d{2})") == 2
+    assert rows._jdf.queryExecution().optimizedPlan().toString().count(r"S(\d{2})") == 1
 
 
 def test_claims_are_unique(manifest, reference, listing):
@@ -154,18 +153,39 @@ def test_fetch_report(spark, reference):
     asked = spark.createDataFrame(
         [r[:5] for r in REQUESTS], "request_id int, series string, series_id int, season int, episode int"
     )
-    got = {r.request_id: r for r in pipeline.fetch_report(asked, reference).collect()}
+    rows = pipeline.fetch_report(asked, reference).orderBy("part").collect()
+    got = {r.request_id: r for r in reversed(rows)}
     assert {i: (r.status, r.granularity) for i, r in got.items()} == {r[0]: r[5:] for r in REQUESTS}
     assert got[1].text == "1x1 - Dawn\nNone\n" and got[11].text.startswith("3x4 - Low Tide")
-    assert got[2].text == "1x1 - Dawn\nNone\n\n\n1x2 - None\nNone\n"
+    assert [(r.part, r.text) for r in rows if r.request_id == 2] == [(1, "1x1 - Dawn\nNone\n"), (2, "1x2 - None\nNone\n")]
     assert got[3].text == "Night Harbor - ID: 1 - None\nPremiered: None - Status: None\n"
 
 
-def test_long_season_goes_on_in_parts(spark, reference):
-    whole = reports.season_report(reference.catalog.episodes()).filter("series_id = 1").first().text
-    parts = reports.season_report(reference.catalog.episodes(), part_episodes=2, group_rows=3)
-    texts = [r.text for r in parts.filter("series_id = 1").orderBy("part").collect()]
-    assert len(texts) == 3 and "\n\n".join(texts) == whole
+def test_season_is_a_row_per_episode(spark, reference):
+    whole = reports.season_text(reference.catalog.episodes()).filter("series_id = 1").first().text
+    rows = reports.season_report(reference.catalog.episodes()).filter("series_id = 1").orderBy("idx").collect()
+    assert [r.idx for r in rows] == [1, 2, 3, 4, 5, 6] and "\n\n".join(r.text for r in rows) == whole
+
+
+def test_slashes_and_duplicate_keys(spark, reference):
+    """A slash in a title gives no target, duplicate keys no second row, a trailing slash no blind spot."""
+    path = f"{IN}/Night.Harbor.S03E04.mkv"
+    manifest = spark.createDataFrame([(path, 0, "file"), (f"{IN}/Night.Harbor.S03E05.mkv", 1, "file")], schemas.MANIFEST)
+    episodes = reference.catalog.episodes().withColumn("title", F.when(F.col("episode") == 4, "Part 1/2").otherwise(F.col("title")))
+    given = catalog.TableCatalog(reference.catalog.shows(), reference.catalog.seasons(), episodes)
+    ids = tables.series_id_table(
+        spark.createDataFrame([(1, "Night Harbor", "7"), (2, "night harbor ", "1"), (0, "x", "n/a")], "line int, series string, id string"), ("line",)
+    )
+    aliases = tables.alias_table(spark.createDataFrame([("Nite", "A"), ("nite", "B")], "variant string, preferred string"))
+    assert sorted(r[:] for r in ids.collect()) == [("night harbor", 1), ("x", 0)]
+    assert [r[:] for r in aliases.collect()] == [("nite", "B")]
+    listing = manifest.select("path").unionByName(spark.createDataFrame([(f"{OUT}/Night Harbor -03.05- Fog.mkv",)], "path string"))
+    for library in ("/library", "/library/"):
+        plan = pipeline.process(manifest, Reference(ids, given, aliases), Options(library=library), listing)
+        assert by_path(plan, "status", "rename_target", "organize_target", "organize_action") == {
+            path: ("invalid_name", None, None, None),
+            f"{IN}/Night.Harbor.S03E05.mkv": ("conflict", f"{IN}/Night Harbor -03.05- Fog.mkv", f"{OUT}/Night Harbor -03.05- Fog.mkv", "conflict"),
+        }
 
 
 def test_apply(spark, reference):
@@ -180,15 +200,16 @@ def test_apply(spark, reference):
     reasons = {r.request_id: r.reason for r in pipeline.accepted_assignments(asked, files, reference).collect()}
     assert reasons == {1: None, 2: None, 3: "not_one_file", 4: "no_series", 5: "no_series_id", 6: None,
                        7: "episode_without_season", 8: None}
-    for options in ({}, {"group_rows": 1}):
-        got = by_path(pipeline.apply(files, asked, reference, **options), "rename_target", "status")
-        assert got == {
-            "in/a.mkv": ("in/night HARBOR -03.04- Low Tide.mkv", "fetched"),
-            "in/b.mkv": ("in/Night Harbor -03.04- Low Tide.mkv", "paired"),
-            "in/9 x.mkv": ("in/Night Harbor -03.05- Fog.mkv", "paired"),
-            "in/10 x.mkv": ("in/Night Harbor -03.06- Bell.mkv", "paired"),
-            "in/g.mkv": ("in/Night Harbor -03.77- Unknown.mkv", "episode_not_found"),
-        }
+    got = by_path(pipeline.apply(files, asked, reference), "rename_target", "status")
+    assert got == {
+        "in/a.mkv": ("in/night HARBOR -03.04- Low Tide.mkv", "fetched"),
+        "in/b.mkv": ("in/Night Harbor -03.04- Low Tide.mkv", "paired"),
+        "in/9 x.mkv": ("in/Night Harbor -03.05- Fog.mkv", "paired"),
+        "in/10 x.mkv": ("in/Night Harbor -03.06- Bell.mkv", "paired"),
+        "in/g.mkv": ("in/Night Harbor -03.77- Unknown.mkv", "episode_not_found"),
+        "in/c.mkv": (None, "not_one_file"), "in/d.mkv": (None, "not_one_file"), "in/e.mkv": (None, "no_series"),
+        "in/f.mkv": (None, "no_series_id"), "in/h.mkv": (None, "no_episode_left"),
+    }
 
 
 def test_natural_order(spark):
