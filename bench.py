@@ -18,7 +18,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 HEADLINE = (
     "infer", "normalize_title", "join_aliases", "search_candidates", "resolve_series_id", "episode_title",
     "enrich", "dest_conflicts", "rename_action", "apply_season", "season_report", "order_tv", "strip_tags",
-    "strip_tags_exact", "outcome_counts", "stream_plan", "process",
+    "strip_tags_exact", "outcome_counts", "stream_plan", "process", "fetch_report", "apply",
 )
 
 
