@@ -111,23 +111,27 @@ class Matcher:
     def near(self, token: str, edits: int = 1) -> bool:
         """Is a word of the trie within so many edits (swapped neighbours count as one)?
 
-        The automaton's state is a row of the edit table; a branch ends where no entry is within reach.
+        The automaton's states are places in the token with the edits left. Between edits it walks down the trie
+        along the token, so only the branches one edit off that path are looked at.
         """
-        first = list(range(len(token) + 1))
-        stack = [(self.root, "", first, first)]
+        n, stack = len(token), [(self.root, 0, edits)]
         while stack:
-            node, letter, row, above = stack.pop()
-            if node.word and row[-1] <= edits:
-                return True
-            for following, child in node.next.items():
-                new = [row[0] + 1]
-                for i, c in enumerate(token, 1):
-                    cost = min(new[-1] + 1, row[i] + 1, row[i - 1] + (c != following))
-                    if letter and i > 1 and c == letter and token[i - 2] == following:
-                        cost = min(cost, above[i - 2] + 1)
-                    new.append(cost)
-                if min(new) <= edits:
-                    stack.append((child, following, new, row))
+            node, i, left = stack.pop()
+            while node is not None:
+                if node.word and n - i <= left:
+                    return True
+                letter = token[i] if i < n else ""
+                if left:
+                    if i < n:
+                        stack.append((node, i + 1, left - 1))  # a letter too many
+                    for following, child in node.next.items():
+                        stack.append((child, i, left - 1))  # a letter lost
+                        if i < n and following != letter:
+                            stack.append((child, i + 1, left - 1))  # another letter
+                    swapped = node.next.get(token[i + 1]) if i + 1 < n else None
+                    if swapped is not None and letter in swapped.next:
+                        stack.append((swapped.next[letter], i + 2, left - 1))
+                node, i = node.next.get(letter), i + 1
         return False
 
     def _may_be_near(self, token: str) -> bool:
