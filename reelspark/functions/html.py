@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+from html.entities import html5
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -9,16 +11,18 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
-# The character references the native variant decodes ("&amp;" comes last).
-ENTITIES = {
-    "&lt;": "<", "&gt;": ">", "&quot;": '"', "&#34;": '"', "&apos;": "'", "&#39;": "'", "&#x27;": "'",
-    "&nbsp;": "\u00a0", "&copy;": "©", "&reg;": "®", "&trade;": "™", "&middot;": "·", "&bull;": "•",
-    "&hellip;": "…", "&ndash;": "–", "&mdash;": "—", "&lsquo;": "‘", "&rsquo;": "’", "&ldquo;": "“",
-    "&rdquo;": "”", "&laquo;": "«", "&raquo;": "»", "&sect;": "§", "&deg;": "°", "&times;": "×",
-    "&pound;": "£", "&euro;": "€", "&amp;": "&",
-}
+# The character references that pages hold most; they are looked up first.
+COMMON = ("amp;", "lt;", "gt;", "quot;", "apos;", "nbsp;", "copy;", "ndash;", "mdash;", "lsquo;", "rsquo;", "ldquo;", "rdquo;")
+# What the numbers 128 to 159 stand for, by the standard's table.
+WINDOWS = "€\x81‚ƒ„…†‡ˆ‰Š‹Œ\x8dŽ\x8f\x90‘’“”•–—˜™š›œ\x9džŸ"
+UNKNOWN = "�"
 
-# Text that may still be half a character reference when the input ends.
+# Names that count without a semicolon, longest first, so that the longest one is met.
+_BARE = "|".join(sorted((n for n in html5 if not n.endswith(";")), key=lambda n: (-len(n), n)))
+_REFERENCE = rf"&(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[A-Za-z][A-Za-z0-9]*+;|(?:{_BARE}))"
+
+# Text that may still be half a character reference when the input ends. A parser that is fed
+# and never closed looks for one among the last 34 characters only.
 _OPEN_REFERENCE = r"(?s)(^|>)[^<>]*&[^\s;&<>]{0,33}\z"
 
 # Comments, declarations and tags; bodies of script and style stay as they are.
@@ -31,17 +35,56 @@ _MARKUP = (
 )
 
 
+def _names(keys) -> Column:
+    return F.from_json(F.lit(json.dumps({k: html5[k] for k in keys})), "map<string,string>")
+
+
+def _of_number(code: Column) -> Column:
+    """The character of a code point; surrogates and what lies beyond Unicode give the replacement character."""
+    padded = F.lpad(F.hex(code), 8, "0")
+    nothing = code.between(1, 8) | code.between(14, 31) | (code == 11) | (code == 127) | code.between(0xFDD0, 0xFDEF)
+    return (
+        F.when(code.isNull() | (code == 0) | code.between(0xD800, 0xDFFF) | (code > 0x10FFFF), UNKNOWN)
+        .when(code.between(128, 159), F.substring(F.lit(WINDOWS), (code - 127).cast("int"), F.lit(1)))
+        .when(nothing | (code.bitwiseAND(F.lit(0xFFFE)) == 0xFFFE), "")
+        .otherwise(F.decode(F.unhex(padded), "UTF-32"))
+    )
+
+
+def _character(reference: Column) -> Column:
+    """What one reference stands for; an unknown name stays as it is."""
+    body = F.substring(reference, F.lit(2), F.length(reference))
+    number = F.regexp_replace(body, r"^#[xX]?0*|;$", "")
+    # Longer ones are beyond Unicode in either base; conv would count them wrongly.
+    read = lambda base: F.when(F.length(number) == 0, 0).when(F.length(number) <= 8, F.conv(number, base, 10).cast("bigint"))
+    code = F.when(body.rlike("^#[xX]"), read(16)).otherwise(read(10))
+    name = F.regexp_extract(body, f"^(?:{_BARE})", 0)
+    every = _names(html5)
+    named = F.coalesce(
+        _names(COMMON)[body],
+        every[body],
+        F.concat(every[name], F.substring(body, F.length(name) + 1, F.length(body))),
+        reference,
+    )
+    return F.when(body.startswith("#"), _of_number(code)).otherwise(named)
+
+
+def decode_references(text: Column) -> Column:
+    """Character references, by number or by name, turned into characters in one pass."""
+    gaps = F.split(text, _REFERENCE, -1)
+    found = F.transform(F.regexp_extract_all(text, F.lit(_REFERENCE), F.lit(0)), _character)
+    whole = F.array_join(F.zip_with(gaps, found, lambda gap, char: F.concat(gap, F.coalesce(char, F.lit("")))), "")
+    return F.when(F.contains(text, F.lit("&")), whole).otherwise(text)
+
+
 def strip_tags(html: Column) -> Column:
-    """Text of an HTML fragment, by regular expressions that stay in generated code.
+    """Text of an HTML fragment, by native expressions.
 
     Tags, comments and declarations go, an unfinished tag at the end goes too, a lone "<"
-    stays, and the common character references are decoded. Null stays null.
+    stays, and all character references are decoded, in script and style bodies too. Null stays null.
     """
     text = F.regexp_replace(html, _OPEN_REFERENCE, "$1")
-    text = F.regexp_replace(text, _MARKUP, "$1$2")
-    for reference, char in ENTITIES.items():
-        text = F.replace(text, F.lit(reference), F.lit(char))
-    return text
+    return decode_references(F.regexp_replace(text, _MARKUP, "$1$2"))
 
 
 def _text_of(html: str | None) -> str | None:

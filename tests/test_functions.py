@@ -103,6 +103,24 @@ def test_strip_tags(spark, variant):
     assert column(spark, [*HTML, None], variant) == [*HTML.values(), None]
 
 
+REFERENCES = [
+    "caf&eacute; &#8217;s &#38; &#x2019; &#X41;", "&#38;lt; &amp;amp; &amp;#39; ", "&notit; &notin; &copy 2020 &ampx &nosuch; & &; &#; &#x; ",
+    "&#0; &#128; &#150; &#159; &#55296; &#1114112; &#99999999999999999999; &#00000000065; ", "&#1; &#11; &#127; &#65534; &#x1F600 ok ",
+    '<p title="a > b">x</p>', "<a href='x>y'>&Aacute;</a> ", "&NotEqualTilde; &fjlig; ",
+]
+
+
+def test_references_are_those_of_the_standard_parser(spark):
+    assert column(spark, REFERENCES, html.strip_tags) == column(spark, REFERENCES, html.strip_tags_exact)
+
+
+def test_every_named_reference(spark):
+    from html.entities import html5
+
+    texts = [f"a &{name} b " for name in sorted(html5)]
+    assert column(spark, texts, html.strip_tags) == [f"a {html5[name]} b " for name in sorted(html5)]
+
+
 def test_strip_tags_variants_agree_on_pages(spark):
     pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
     both = pages.select(html.strip_tags(F.col("html")).alias("a"), html.strip_tags_exact("html").alias("b"))
