@@ -577,7 +577,9 @@ def stream_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     i = _arriving(spark, sf_dir)
-    timed = i["files"].select("path", F.col("l_shipdate").cast("timestamp").alias("seen"))
+    first = F.col("l_shipdate").cast("timestamp")
+    again = first + F.expr("interval 6 hours")  # every path is announced twice
+    timed = i["files"].select("path", F.explode(F.array(first, again)).alias("seen"))
     sink, state = scratch_path(spark, "stream-dedup"), scratch_path(spark, "stream-state")
     (
         arrivals.dedup_arrivals(timed, "seen", "7 days").select("path")
