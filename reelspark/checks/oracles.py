@@ -89,19 +89,25 @@ def shorter_names(x: str) -> str:
 
 
 def pairs_sql(queries: str) -> str:
-    """Every query beside every name, kept where equal, one character or one word apart."""
+    """Every query beside every name, kept where equal, a character, a word or blanks apart, or with half the words."""
+    words = lambda x: f"list_distinct(string_split({x}, ' '))"
     return f"""
 select query_key, name_key, show_id, n_shows,
-  round(case when query_key = name_key then 1.0
-    when by_word and by_char then greatest(1 - 1.0 / words, 1 - 1.0 / chars)
-    when by_word then 1 - 1.0 / words else 1 - 1.0 / chars end::double, 6) score
-from (select *, query_key = name_key or list_contains(q_shorter, name_key) or list_contains(n_shorter, query_key) by_word,
-        query_key = name_key or (abs(length(query_key) - length(name_key)) <= 1 and levenshtein(query_key, name_key) = 1) by_char,
+  round(case when query_key = name_key then 1.0 else greatest(
+    case when by_word then 1 - 1.0 / words else 0 end, case when by_char then 1 - 1.0 / chars else 0 end,
+    case when share >= 0.5 then least(share, 1 - 1.0 / (words + 1)) else 0 end) end::double, 6) score
+from (select *, common::double / (len(q_words) + len(n_words) - common) share
+  from (select *, query_key = name_key or list_contains(q_shorter, name_key) or list_contains(n_shorter, query_key) by_word,
+        query_key = name_key or q_joined = n_joined
+          or (abs(length(query_key) - length(name_key)) <= 1 and levenshtein(query_key, name_key) = 1) by_char,
+        len(list_intersect(q_words, n_words)) common,
         greatest(len(string_split(query_key, ' ')), len(string_split(name_key, ' '))) words,
         greatest(length(query_key), length(name_key)) chars
-      from (select query_key, {shorter_names('query_key')} q_shorter from {queries}) q,
-           (select *, {shorter_names('name_key')} n_shorter from o_index) n)
-where by_word or by_char"""
+      from (select query_key, {shorter_names('query_key')} q_shorter, {words('query_key')} q_words,
+              replace(query_key, ' ', '') q_joined from {queries}) q,
+           (select *, {shorter_names('name_key')} n_shorter, {words('name_key')} n_words,
+              replace(name_key, ' ', '') n_joined from o_index) n))
+where by_word or by_char or share >= 0.5"""
 
 
 def j(path: str, of: str = "payload") -> str:

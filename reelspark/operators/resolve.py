@@ -88,14 +88,18 @@ def unresolved_series(rows: DataFrame, ids: DataFrame, field: str = "series") ->
 # Search -------------------------------------------------------------------------------
 #
 # The index holds one entry per distinct name. A candidate is a name that equals the query,
-# differs from it by one typed character, or has one word more or fewer. Each name stands
-# for a number of signatures linear in its length, and equal signatures meet in an equi-join:
+# differs from it by one typed character, by blanks only, or by one word more or fewer, or that
+# shares enough of its words. Each name stands for a number of signatures linear in its
+# length, and equal signatures meet in an equi-join:
 #   e  the name                                     equal names
 #   i  / x  the name / all names one character shorter    one character more or fewer
 #   s  the name with one character blotted out      one character replaced
 #   w  / v  the name / all names one word shorter         one word more or fewer
-# No name is compared with all others, no candidate is cut off, and a frequent word is no
-# key of its own, so results stay linear in the two inputs.
+#   b  the name without blanks                      blanks only
+# Words in common: see word_pairs. No name is compared with all others and no candidate is cut off.
+
+# Share of all words of two names (Jaccard) from which they are candidates.
+SIMILARITY = 0.5
 
 
 def name_index(shows: DataFrame) -> DataFrame:
@@ -131,7 +135,10 @@ def _signatures(name: str, query_side: bool) -> Column:
             F.sequence(F.lit(1), F.size(words)), lambda i: _tagged(short_word, without_word(i))
         ),
     ).otherwise(F.array().cast("array<string>"))
-    whole = F.array(_tagged("e", text), _tagged(whole_char, text), _tagged(whole_word, text))
+    joined = F.replace(text, F.lit(" "), F.lit(""))
+    whole = F.array(
+        _tagged("e", text), _tagged("b", joined), _tagged(whole_char, text), _tagged(whole_word, text)
+    )
     return F.array_distinct(F.concat(whole, shorter, blotted, fewer))
 
 
@@ -147,19 +154,67 @@ def _score(tag: Column, query: Column, name: Column) -> Column:
     )
 
 
-def search_candidates(queries: DataFrame, index: DataFrame, field: str = "query") -> DataFrame:
-    """Candidates of each distinct query: ``query_key, name_key, score, show_id, n_shows``."""
-    asked = query_keys(queries, field).withColumn(
-        "_signature", F.explode(_signatures("query_key", True))
+def _rare_first(names: DataFrame, name: str, frequency: DataFrame, similarity: float) -> DataFrame:
+    """Adds ``_words``: the distinct words of each name, rarest first, and ``_prefix``.
+
+    Two names with so great a share of words in common share one of the first
+    ``n - ceil(similarity * n) + 1`` words of either: the prefix.
+    """
+    words = names.select(name, F.explode(F.array_distinct(F.split(name, " "))).alias("_word"))
+    counted = attach(words, frequency, {"_word": F.col("_word")}, ["_n"])
+    order = F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_word").alias("word"))
+    ordered = counted.groupBy(name).agg(F.sort_array(F.collect_list(order))["word"].alias("_words"))  # one name's words
+    size = F.size("_words")
+    needed = F.ceil(size * similarity - 1e-9).cast("int")
+    return ordered.withColumn("_prefix", F.slice("_words", F.lit(1), size - needed + 1))
+
+
+def word_pairs(asked: DataFrame, index: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
+    """All pairs of a query and a name with at least that share of words in common.
+
+    ``query_key, name_key, score, show_id, n_shows``. Pairs meet on the rarest words that the threshold
+    makes necessary, and each only on the first such word both have; the share is then
+    exact. Equal sets of words in another order, or with repeats, score below equal names.
+    """
+    every = index.select(F.explode(F.array_distinct(F.split("name_key", " "))).alias("_word"))
+    frequency = every.groupBy("_word").agg(F.count("*").alias("_n"))
+    left = _rare_first(asked, "query_key", frequency, similarity)
+    right = _rare_first(index, "name_key", frequency, similarity).join(index, "name_key")
+    left = left.select("query_key", "_words", "_prefix", F.explode("_prefix").alias("_word"))
+    right = right.select(
+        "name_key", "show_id", "n_shows", F.col("_words").alias("_others"), F.col("_prefix").alias("_offered"),
+        F.explode("_prefix").alias("_word"),
     )
+    common = F.size(F.array_intersect("_words", "_others"))
+    share = common / (F.size("_words") + F.size("_others") - common)
+    words = F.greatest(F.size(F.split("query_key", " ")), F.size(F.split("name_key", " ")))
+    return (
+        left.join(right, "_word")
+        .filter(F.col("_word") == F.array_intersect("_prefix", "_offered")[0])
+        .filter((share >= similarity) & (F.col("query_key") != F.col("name_key")))
+        .select(
+            "query_key", "name_key", F.round(F.least(share, 1 - 1 / (words + 1)), 6).alias("score"), "show_id", "n_shows"
+        )
+    )
+
+
+def search_candidates(
+    queries: DataFrame, index: DataFrame, field: str = "query", similarity: float = SIMILARITY
+) -> DataFrame:
+    """Candidates of each distinct query: ``query_key, name_key, score, show_id, n_shows``."""
+    keys = query_keys(queries, field)
+    asked = keys.withColumn("_signature", F.explode(_signatures("query_key", True)))
     offered = index.withColumn("_signature", F.explode(_signatures("name_key", False)))
     tag = F.substring("_signature", 1, 1)
     pairs = asked.join(offered, "_signature").filter(
         # A blotted name also meets itself; equal names have their own signature.
         (tag == "e") | (F.col("query_key") != F.col("name_key"))
     )
+    scored = pairs.select(
+        "query_key", "name_key", _score(tag, F.col("query_key"), F.col("name_key")).alias("score"), "show_id", "n_shows"
+    )
     return (
-        pairs.withColumn("score", _score(tag, F.col("query_key"), F.col("name_key")))
+        scored.unionByName(word_pairs(keys, index, similarity))
         .groupBy("query_key", "name_key")
         .agg(
             F.max("score").alias("score"),
@@ -187,24 +242,32 @@ def candidate_count(queries: DataFrame, candidates: DataFrame, field: str = "que
     )
 
 
-def top_candidate(candidates: DataFrame) -> DataFrame:
-    """The best candidate of each query: highest score, then lowest ID. No window, no sort of a group."""
-    best = F.min(F.struct((-F.col("score")).alias("rank"), "show_id", "name_key")).alias("_best")
+def top_candidate(candidates: DataFrame, rank: Column | None = None) -> DataFrame:
+    """The best candidate of each query: highest score, then lowest ID. No window, no sort of a group.
+
+    ``rank``, over the columns of the candidates, is another policy: the lowest value wins.
+    """
+    policy = -F.col("score") if rank is None else rank
+    best = F.min(F.struct(policy.alias("rank"), "show_id", "name_key", "score")).alias("_best")
     return candidates.groupBy("query_key").agg(best).select(
         "query_key",
         F.col("_best.show_id").alias("show_id"),
         F.col("_best.name_key").alias("name_key"),
-        (-F.col("_best.rank")).alias("score"),
+        F.col("_best.score").alias("score"),
     )
 
 
 def resolve_best(
-    names: DataFrame, index: DataFrame, field: str = "series_key", ask: Column | None = None
+    names: DataFrame,
+    index: DataFrame,
+    field: str = "series_key",
+    ask: Column | None = None,
+    rank: Column | None = None,
 ) -> DataFrame:
     """Non-interactive search: adds ``series_id``, 0 where nothing is found.
 
     Equal names are looked up first by a plain join; only names left over are searched by
-    signature. ``ask`` may leave out names that need no search.
+    signature. ``ask`` may leave out names that need no search; ``rank`` is as in :func:`top_candidate`.
     """
     query = F.nullif(search_key(F.col(field)), F.lit(""))
     asked = names.withColumn("_query", query if ask is None else F.when(ask, query))
@@ -213,13 +276,13 @@ def resolve_best(
     )
     left_over = F.when(F.col("_exact").isNull(), F.col("_query"))
     rest = exact.select(left_over.alias("query"))
-    near = top_candidate(search_candidates(rest, index)).withColumnRenamed("show_id", "_near")
+    near = top_candidate(search_candidates(rest, index), rank).withColumnRenamed("show_id", "_near")
     return attach(exact, near, {"query_key": left_over}, ["_near"]).select(
         *names.columns, F.coalesce("_exact", "_near", F.lit(0)).alias("series_id")
     )
 
 
-def resolve_series(keys: DataFrame, ids: DataFrame, index: DataFrame) -> DataFrame:
+def resolve_series(keys: DataFrame, ids: DataFrame, index: DataFrame, rank: Column | None = None) -> DataFrame:
     """The cascade over distinct series: known ID, else best search result, else 0.
 
     Returns ``series_key, series_id, id_source`` (known, search, none).
@@ -227,7 +290,7 @@ def resolve_series(keys: DataFrame, ids: DataFrame, index: DataFrame) -> DataFra
     known = ids.withColumnRenamed("series_id", "_known")
     local = attach(keys, known, {"series_key": F.col("series_key")}, ["_known"])
     unknown = F.col("_known").isNull()
-    return resolve_best(local, index, ask=unknown).select(
+    return resolve_best(local, index, ask=unknown, rank=rank).select(
         "series_key",
         F.coalesce("_known", "series_id").alias("series_id"),
         F.when(~unknown, "known").when(F.col("series_id") == 0, "none").otherwise("search").alias("id_source"),

@@ -40,6 +40,11 @@ def brute_force(queries, names):
             scores.append(1 - 1 / max(len(q), len(n)))
         if nw in fewer(qw) or qw in fewer(nw):
             scores.append(1 - 1 / max(len(qw), len(nw)))
+        if q != n and q.replace(" ", "") == n.replace(" ", ""):
+            scores.append(1 - 1 / max(len(q), len(n)))
+        share = len({*qw} & {*nw}) / len({*qw} | {*nw})
+        if q != n and share >= 0.5:
+            scores.append(min(share, 1 - 1 / (max(len(qw), len(nw)) + 1)))
         if scores:
             ids = [i for i, m in names if key(m) == n]
             out[q, n] = (round(max(scores), 6), min(ids), len(ids))
@@ -59,6 +64,36 @@ def test_search_is_brute_force(spark):
     assert got["night harbor", "night harbor"] == (1.0, 2, 2)
 
 
+def test_several_words_apart(spark):
+    names = [(1, "The Office Us Archive"), (2, "Agents Of S.H.I.E.L.D"), (3, "Lost"), (4, "The Lost Archive Of The Us")]
+    asked = ["office archive", "archive us office the", "agents of shield", "lost of", "us lost archive"]
+    _, _, found = search(spark, asked, names)
+    got = {(r.query_key, r.name_key): (r.score, r.show_id, r.n_shows) for r in found.collect()}
+    assert got == brute_force(asked, names)
+    assert ("office archive", "the office us archive") in got and ("archive us office the", "the office us archive") in got
+    assert ("agents of shield", "agents of s h i e l d") in got
+
+
+def test_word_pairs_at_other_thresholds(spark):
+    """Random names of a few words; every threshold agrees with comparing all pairs."""
+    import random
+
+    random.seed(5)
+    made = sorted({" ".join(random.choices("abcdefgh", k=random.randint(1, 6))) for _ in range(120)})
+    asked = spark.createDataFrame([(n,) for n in made[::2]], "query_key string")
+    index = spark.createDataFrame([(n, i, 1) for i, n in enumerate(made)], "name_key string, show_id int, n_shows long")
+    share = lambda a, b: len({*a.split()} & {*b.split()}) / len({*a.split()} | {*b.split()})
+    for threshold in (0.3, 0.5, 2 / 3, 0.8, 1.0):
+        got = [(r.query_key, r.name_key) for r in resolve.word_pairs(asked, index, threshold).collect()]
+        assert sorted(got) == sorted((a, b) for a in made[::2] for b in made if a != b and share(a, b) >= threshold)
+
+
+def test_ranking_policy(spark):
+    _, _, found = search(spark, ["night harbor"])
+    by_id = {r.query_key: r.show_id for r in resolve.top_candidate(found, -F.col("show_id")).collect()}
+    assert by_id == {"night harbor": max(r.show_id for r in found.collect())}
+
+
 def test_frequent_word_keeps_results_whole(spark):
     """A third of all names hold one word; none of its candidates is lost."""
     names = [(i, f"Common {i:04d}x" if i % 3 == 0 else f"Other {i:04d}y") for i in range(1, 600)]
