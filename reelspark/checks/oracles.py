@@ -347,9 +347,15 @@ def _queries() -> dict[str, str]:
     q["enrich"] = "select path, series_id, id_source, title, fetch_status from o_fetched"
     q["apply_single"] = "select * from o_single"
     q["apply_season"] = "select * from o_season_files"
-    q["apply"] = """select * from o_single union all select * from o_season_files
-        union all select a.request_id, f.path, a.series, a.series_id, a.season, a.episode, null, null, a.reason
-        from o_accepted a join files f using (request_id) where a.reason is not null"""
+    q["apply"] = """select request_id, path, series, series_id, season, episode, title, rename_target, status,
+          case when rename_target is null then null when rename_target = path then 'already_named'
+            when taken or claim_no > 1 then 'conflict' else 'rename' end rename_action
+        from (select o.*, l.path is not null taken, row_number() over (
+            partition by rename_target, rename_target = o.path order by request_id, o.path) claim_no
+          from (select * from o_single union all select * from o_season_files
+            union all select a.request_id, f.path, a.series, a.series_id, a.season, a.episode, null, null, a.reason
+            from o_accepted a join files f using (request_id) where a.reason is not null) o
+          left join (select distinct path from listing) l on l.path = rename_target)"""
     q["candidate_count"] = """select query_key, cast(coalesce(sum(n_shows), 0) as bigint) n_shows,
           case coalesce(sum(n_shows), 0) when 0 then 'none' when 1 then 'unique' else 'ambiguous' end outcome
         from o_query_keys left join o_search_pairs using (query_key) group by 1"""

@@ -629,4 +629,4 @@ def fetch_report(i: Inputs) -> DataFrame:
 
 @register
 def apply(i: Inputs) -> DataFrame:
-    return pipeline.apply(i.assigned_files(), i["assignments"], i.payload_reference())
+    return pipeline.apply(i.assigned_files(), i["assignments"], i.payload_reference(), i["listing"])

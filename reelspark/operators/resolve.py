@@ -282,18 +282,46 @@ def resolve_best(
     )
 
 
-def resolve_series(keys: DataFrame, ids: DataFrame, index: DataFrame, rank: Column | None = None) -> DataFrame:
-    """The cascade over distinct series: known ID, else best search result, else 0.
+def chosen_series(keys: DataFrame, index: DataFrame, choices: DataFrame) -> DataFrame:
+    """``series_key, series_id``: the candidate each choice names by its option number, 0 where it is not offered.
 
-    Returns ``series_key, series_id, id_source`` (known, search, none).
+    ``choices``: series_key, choice. Only series that have a choice are searched for.
+    """
+    query = F.nullif(search_key(F.col("series_key")), F.lit(""))
+    asked = keys.join(choices.groupBy("series_key").agg(F.max("choice").cast("bigint").alias("number")), "series_key")
+    asked = asked.withColumn("query", query)
+    options = number_candidates(search_candidates(asked, index)).select("query_key", "number", "show_id")
+    picked = attach(asked, options, {"query_key": F.col("query"), "number": F.col("number")}, ["show_id"])
+    return picked.select("series_key", F.coalesce("show_id", F.lit(0)).alias("series_id"))
+
+
+def resolve_series(
+    keys: DataFrame,
+    ids: DataFrame,
+    index: DataFrame,
+    rank: Column | None = None,
+    choices: DataFrame | None = None,
+) -> DataFrame:
+    """The cascade over distinct series: known ID, else the choice made, else best search result, else 0.
+
+    Returns ``series_key, series_id, id_source`` (known, choice, search, none). A choice that is
+    not offered leaves its series unresolved. ``rank`` is as in :func:`top_candidate`.
     """
     known = ids.withColumnRenamed("series_id", "_known")
     local = attach(keys, known, {"series_key": F.col("series_key")}, ["_known"])
-    unknown = F.col("_known").isNull()
+    if choices is not None:
+        open_keys = local.filter(F.col("_known").isNull()).select("series_key")
+        chosen = chosen_series(open_keys, index, choices).withColumnRenamed("series_id", "_chosen")
+        local = attach(local, chosen, {"series_key": F.col("series_key")}, ["_chosen"])
+    else:
+        local = local.withColumn("_chosen", F.lit(None).cast("int"))
+    unknown = F.col("_known").isNull() & F.col("_chosen").isNull()
+    series_id = F.coalesce("_known", "_chosen", "series_id")
     return resolve_best(local, index, ask=unknown, rank=rank).select(
         "series_key",
-        F.coalesce("_known", "series_id").alias("series_id"),
-        F.when(~unknown, "known").when(F.col("series_id") == 0, "none").otherwise("search").alias("id_source"),
+        series_id.alias("series_id"),
+        F.when(F.col("_known").isNotNull(), "known").when(series_id == 0, "none")
+        .when(F.col("_chosen").isNotNull(), "choice").otherwise("search").alias("id_source"),
     )
 
 

@@ -12,6 +12,7 @@ from reelspark.operators import assign, enrich, planning, reports, resolve
 from reelspark.operators.infer import MATCHED, TV, MediaSpec, infer
 from reelspark.session import scratch_path
 from reelspark.sources.catalog import Catalog
+from reelspark.sources.tables import merge_series_ids
 
 
 @dataclass(frozen=True)
@@ -28,6 +29,8 @@ class Options:
     owner: str | None = None
     group: str | None = None
     title_policy: str = "overwrite"
+    #: Where the ID table of the run, known and newly resolved series, is written; nowhere if not given.
+    learned: str | None = None
 
     def __post_init__(self) -> None:
         object.__setattr__(self, "library", self.library.rstrip("/"))
@@ -44,17 +47,24 @@ class Options:
 class Reference:
     """Reference tables of a run: alias and ID tables and the catalogue.
 
-    ``index`` is the search index; built from the catalogue's shows unless given.
+    ``index`` is the search index; built from the catalogue's shows unless given. ``rank`` is a
+    ranking of candidates other than the score, ``choices`` (series_key, choice) what users picked.
     """
 
     ids: DataFrame
     catalog: Catalog
     aliases: DataFrame | None = None
     index: DataFrame | None = None
+    rank: Column | None = None
+    choices: DataFrame | None = None
 
     def search_index(self) -> DataFrame:
         return self.index if self.index is not None else resolve.name_index(self.catalog.shows())
 
+    def resolve(self, keys: DataFrame) -> DataFrame:
+        """The ID of every distinct series, each looked up or searched once."""
+        return resolve.resolve_series(keys, self.ids, self.search_index(), self.rank, self.choices)
+
 
 def named(files: DataFrame, reference: Reference, options: Options, spec: MediaSpec) -> DataFrame:
     """File status, inferred fields and preferred series spelling of each file."""
@@ -67,9 +77,7 @@ def named(files: DataFrame, reference: Reference, options: Options, spec: MediaS
 
 def resolution(rows: DataFrame, reference: Reference) -> DataFrame:
     """The ID of every distinct series in the rows, each looked up or searched once."""
-    return resolve.resolve_series(
-        resolve.series_keys(rows), reference.ids, reference.search_index()
-    )
+    return reference.resolve(resolve.series_keys(rows))
 
 
 def fetched(rows: DataFrame, reference: Reference, options: Options) -> DataFrame:
@@ -83,6 +91,8 @@ def fetched(rows: DataFrame, reference: Reference, options: Options) -> DataFram
             }
         )
     known = written(resolution(rows, reference), "resolution")
+    if options.learned:
+        merge_series_ids(reference.ids, known.select("series_key", "series_id")).write.parquet(options.learned)
     return enrich.enrich(rows, known, reference.catalog.episodes(), options.title_policy)
 
 
@@ -193,9 +203,7 @@ def dispatch(requests: DataFrame, reference: Reference) -> DataFrame:
     checked = requests.withColumn("reason", assign.lookup_reason())
     by_name = F.when(F.col("reason").isNull() & assign.given("series"), F.col("series"))
     asked = checked.withColumn("_series", F.coalesce(by_name, F.lit("")))
-    ids = resolve.resolve_series(
-        resolve.series_keys(asked, "_series"), reference.ids, reference.search_index()
-    ).withColumnRenamed("series_id", "found_id")
+    ids = reference.resolve(resolve.series_keys(asked, "_series")).withColumnRenamed("series_id", "found_id")
     found = resolve.attach(
         asked, ids, {"series_key": F.nullif(resolve.name_key(F.col("_series")), F.lit(""))}, ["found_id"]
     )
@@ -258,10 +266,7 @@ def fetch_report(requests: DataFrame, reference: Reference) -> DataFrame:
 def accepted_assignments(requests: DataFrame, files: DataFrame, reference: Reference) -> DataFrame:
     """Assignment requests with ``n_files``, ``series_id`` and ``reason`` (null where accepted)."""
     counted = assign.file_counts(requests, files).withColumn("reason", assign.assignment_reason())
-    ids = resolve.resolve_series(
-        resolve.series_keys(counted.withColumn("series", F.coalesce("series", F.lit("")))),
-        reference.ids, reference.search_index(),
-    )
+    ids = reference.resolve(resolve.series_keys(counted.withColumn("series", F.coalesce("series", F.lit("")))))
     found = enrich.join_resolution(counted, ids)
     unknown = F.when(F.col("series_id") == 0, "no_series_id").when(
         ~assign.given("season"), "no_season"
@@ -269,12 +274,19 @@ def accepted_assignments(requests: DataFrame, files: DataFrame, reference: Refer
     return found.withColumn("reason", F.coalesce("reason", unknown))
 
 
-def apply(files: DataFrame, requests: DataFrame, reference: Reference) -> DataFrame:
+def apply(
+    files: DataFrame,
+    requests: DataFrame,
+    reference: Reference,
+    listing: DataFrame | None = None,
+    simulate: bool = False,
+) -> DataFrame:
     """Assignments to files: single episodes by number, seasons by position. Never organises.
 
     ``requests``: request_id, series, season, episode; ``files``: request_id, path. Requests are
     checked and resolved once, and kept as a table. Every assigned file keeps a row: files of
-    refused requests have the reason as their status and no target.
+    refused requests have the reason as their status and no target. ``rename_action`` is as in a run;
+    claims on one target are settled by request, then by path.
     """
     checked = written(accepted_assignments(requests, files, reference), "assignments")
     accepted = checked.filter(F.col("reason").isNull())
@@ -286,8 +298,10 @@ def apply(files: DataFrame, requests: DataFrame, reference: Reference) -> DataFr
         "request_id", "path", "series", "series_id", "season", "episode", _none().alias("title"),
         _none().alias("rename_target"), F.col("reason").alias("status"),
     )
-    return (
+    assigned = (
         assign.apply_single(files, accepted, episodes)
         .unionByName(assign.apply_season(files, accepted, episodes))
         .unionByName(refused)
     )
+    entered = assigned.withColumns({"path_type": F.lit("file"), "input_ord": F.col("request_id").cast("bigint")})
+    return planning.rename_action(entered, listing, simulate).drop("path_type", "input_ord")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 
 from reelspark.operators.infer import TV, MediaSpec
 from reelspark.plans.pipeline import Options, Reference, infer_report, process
@@ -37,7 +37,9 @@ def processor(
     ids: DataFrame,
     aliases: DataFrame | None = None,
     search: Callable[[DataFrame], DataFrame] | None = None,
+    rank: Column | None = None,
+    choices: DataFrame | None = None,
 ) -> Processor:
-    """The processor of a media type; ``search`` may build another index than the default."""
+    """The processor of a media type; ``search`` may build another index than the default, ``rank`` rank otherwise."""
     index = search(catalog.shows()) if search else None
-    return Processor(MEDIA_TYPES[media_type], Reference(ids, catalog, aliases, index))
+    return Processor(MEDIA_TYPES[media_type], Reference(ids, catalog, aliases, index, rank, choices))

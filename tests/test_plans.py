@@ -212,6 +212,27 @@ def test_apply(spark, reference):
     }
 
 
+def test_apply_settles_claims(spark, reference):
+    asked = spark.createDataFrame(
+        [(1, "Night Harbor", 3, 4), (2, "Night Harbor", 3, 4), (3, "Night Harbor", 3, 5), (4, "Night Harbor", 3, 6)],
+        "request_id int, series string, season int, episode int",
+    )
+    there = "in/Night Harbor -03.06- Bell.mkv"
+    files = spark.createDataFrame(
+        [(1, "in/z.mkv"), (2, "in/a.mkv"), (3, "in/b.mkv"), (4, there)], "request_id int, path string"
+    )
+    listing = spark.createDataFrame([("in/Night Harbor -03.05- Fog.mkv",), (there,)], "path string")
+    got = by_path(pipeline.apply(files, asked, reference, listing), "rename_action")
+    assert got == {"in/z.mkv": ("rename",), "in/a.mkv": ("conflict",), "in/b.mkv": ("conflict",), there: ("already_named",)}
+
+
+def test_learned_ids(manifest, reference, tmp_path):
+    path = str(tmp_path / "learned")
+    pipeline.infer_report(manifest, reference, Options(learned=path))
+    ids = manifest.sparkSession.read.parquet(path)
+    assert {tuple(r) for r in ids.collect()} == {("day harbor", 2), ("night harbor", 1)}
+
+
 def test_natural_order(spark):
     rows = spark.createDataFrame([("10.mkv",), ("9.mkv",), ("1 b.mkv",), ("1 a.mkv",), ("z.mkv",)], "n string")
     got = [r.n for r in rows.orderBy(*assign.natural_key(F.col("n"))).collect()]

@@ -130,6 +130,17 @@ def test_cascade(spark):
     }
 
 
+def test_choices(spark):
+    """A choice beats the best result; one that is not offered leaves the series unresolved; known IDs stay."""
+    keys = spark.createDataFrame([("known",), ("night harbor",), ("night",), ("harbor us",)], "series_key string")
+    ids = spark.createDataFrame([("known", 77)], "series_key string, series_id int")
+    queries, index, found = search(spark, ["night harbor"])
+    second = {r.number: r.show_id for r in resolve.number_candidates(found).collect()}[2]
+    choices = spark.createDataFrame([("night harbor", 2), ("night", 99), ("known", 1)], "series_key string, choice int")
+    got = {r.series_key: (r.series_id, r.id_source) for r in resolve.resolve_series(keys, ids, index, choices=choices).collect()}
+    assert got == {"known": (77, "known"), "night harbor": (second, "choice"), "night": (0, "none"), "harbor us": (3, "search")}
+
+
 def test_aliases(spark):
     layers = spark.createDataFrame(
         [(1, 1, " NIGHT HARBOR us ", "Old"), (2, 1, "Night Harbor Us", "Night Harbor"), (1, 2, "Only One", "One"),
