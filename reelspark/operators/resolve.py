@@ -98,8 +98,9 @@ def unresolved_series(rows: DataFrame, ids: DataFrame, field: str = "series") ->
 #   b  the name without blanks                      blanks only
 # Words in common: see word_pairs. No name is compared with all others and no candidate is cut off.
 
-# Share of all words of two names (Jaccard) from which they are candidates.
-SIMILARITY = 0.5
+# Share of all words of two names (Jaccard) from which they are candidates. At one half, names of
+# three words that share two would all pair up: quadratic where the vocabulary is small.
+SIMILARITY = 0.75
 
 
 def name_index(shows: DataFrame) -> DataFrame:
