@@ -4,13 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from reelspark.session import scratch_path
+from reelspark.session import discard, scratch_path
 
-# Sub-groups per claimed target; see first_claims.
-LANES = 1024
+# Column that numbers the rows whose claims are settled; see first_claims.
+ROW = "_claim_row"
 
 
 def number_rows(
@@ -55,6 +55,7 @@ def _positions(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
     in_task = 33  # monotonically_increasing_id: partition number above, row number below
     given = _kept(rows, "given")
     ordered = _kept(given.orderBy(*order).withColumn("_row", F.monotonically_increasing_id()), "ordered")
+    discard(given)
     lengths = (
         ordered.groupBy(F.shiftright("_row", in_task).alias("_stretch"))
         .agg(F.count("*").alias("_length"))
@@ -76,40 +77,34 @@ def _positions(rows: DataFrame, order: Sequence[Column]) -> DataFrame:
     )
 
 
+def with_row(rows: DataFrame, name: str = ROW) -> DataFrame:
+    """The rows, written to the shared folder once, with a number of their own (BIGINT, not dense)."""
+    return _kept(rows.withColumn(name, F.monotonically_increasing_id()), "rows")
+
+
 def first_claims(
-    rows: DataFrame,
-    target: str,
-    order: Sequence[Column],
-    name: str,
-    taken: DataFrame | None = None,
-    lanes: int = LANES,
+    rows: DataFrame, target: str, order: Sequence[Column], name: str, taken: DataFrame | None = None
 ) -> DataFrame:
     """Adds a flag: is this row the first, in the given order, to claim its target?
 
-    Null targets claim nothing and get null. ``taken`` holds targets (its first column) that
-    are gone before any row asks; they join the same contest, which saves a join of their own.
+    ``rows`` comes from ``with_row``, or is cheap to read twice and has its number: of rows equal
+    in ``order`` the lower number wins. Null targets claim nothing and get null. ``taken`` holds
+    targets (its first column) that are gone before any row asks.
 
-    The rows of one target are split over ``lanes`` by a hash of their order key; the first
-    of each lane compete in a second round of at most ``lanes`` rows, so a target that half
-    of all rows claim is never one task's work.
+    The winner of a target is a minimum, combined before the shuffle, so a target that half of
+    all rows claim is one row per task. Only targets are shuffled, and of ``taken`` only what this
+    run wants gets any further. The winners' numbers are kept as a table and joined back by number,
+    a key that cannot be skewed: the rows themselves move once, however many claims follow.
     """
-    rows = rows.withColumn("_taken", F.lit(False))
-    if taken is not None:
-        gone = taken.select(F.col(taken.columns[0]).alias(target), F.lit(True).alias("_taken"))
-        rows = rows.unionByName(gone, allowMissingColumns=True)
-    ranking = [F.col("_taken").desc(), *order]
     wanted = F.col(target)
-    mixed = F.xxhash64(*order)
-    lane = F.when(wanted.isNull(), mixed).otherwise(F.pmod(mixed, F.lit(lanes).cast("bigint")))
-    # The hash comes first in the sort: paths that begin alike would be compared in full.
-    contest = Window.partitionBy("_sort", target, "_lane").orderBy(*ranking)
-    leads = F.row_number().over(contest) == 1
-    final = F.when(wanted.isNotNull() & F.col("_leads"), F.lit(-1).cast("bigint")).otherwise(F.col("_lane"))
-    rows = rows.select("*", lane.alias("_lane"), F.xxhash64(wanted).alias("_sort"))
-    rows = rows.withColumn("_leads", leads).withColumn("_lane", final)
-    first = F.col("_leads") & (F.row_number().over(contest) == 1)
-    return (
-        rows.withColumn(name, F.when(wanted.isNotNull(), first))
-        .filter(~F.col("_taken"))
-        .drop("_taken", "_lane", "_leads", "_sort")
+    winners = (
+        rows.filter(wanted.isNotNull())
+        .groupBy(wanted.alias("_target"))
+        .agg(F.min(F.struct(*(c.alias(f"_{i}") for i, c in enumerate(order)), F.col(ROW)))[ROW].alias(ROW))
     )
+    if taken is not None:
+        gone = taken.select(F.col(taken.columns[0]).alias("_target"))
+        winners = winners.join(gone, "_target", "left_anti")
+    winners = _kept(winners.select(ROW), "winners").withColumn("_won", F.lit(True))
+    won = F.when(wanted.isNotNull(), F.coalesce("_won", F.lit(False)))
+    return rows.join(winners, ROW, "left").withColumn(name, won).select(*rows.columns, name)

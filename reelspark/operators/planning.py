@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelspark.functions import paths
-from reelspark.operators.ordinals import first_claims
+from reelspark.operators.ordinals import ROW, first_claims, with_row
 
 # Claims on one path are settled in the order of the input, then by path.
 CLAIM_ORDER = ("input_ord", "path")
@@ -32,14 +32,16 @@ def file_status(path: Column, path_type: Column) -> Column:
     )
 
 
-def _claim_order() -> list[Column]:
-    return [F.col(c) for c in CLAIM_ORDER]
+def _claims(rows: DataFrame, target: str, taken: DataFrame | None = None) -> DataFrame:
+    """first_claims in CLAIM_ORDER as column ``_first``; rows without a number are written first."""
+    numbered = rows if ROW in rows.columns else with_row(rows)
+    claimed = first_claims(numbered, target, [F.col(c) for c in CLAIM_ORDER], "_first", taken)
+    return claimed if ROW in rows.columns else claimed.drop(ROW)
 
 
 def dest_conflicts(rows: DataFrame, target: str) -> DataFrame:
     """Adds ``claim``: ``first`` for the first file to claim a path, ``conflict`` for the rest."""
-    claimed = first_claims(rows, target, _claim_order(), "_first")
-    return claimed.withColumn(
+    return _claims(rows, target).withColumn(
         "claim", F.when(F.col("_first"), "first").when(~F.col("_first"), "conflict")
     ).drop("_first")
 
@@ -53,7 +55,7 @@ def rename_action(rows: DataFrame, listing: DataFrame | None, simulate: bool = F
     contest = F.when(F.col("rename_target") != F.col("path"), F.col("rename_target"))
     missing = file_status(F.col("path"), F.col("path_type")).isin("empty_path", "missing")
     entered = rows.withColumn("_wanted", F.when(~missing, contest))
-    claimed = first_claims(entered, "_wanted", _claim_order(), "_first", listing)
+    claimed = _claims(entered, "_wanted", listing)
     action = (
         F.when(F.col("rename_target").isNull(), None)
         .when(missing, "missing")
@@ -72,7 +74,7 @@ def organize_action(rows: DataFrame, listing: DataFrame | None, simulate: bool =
     contest = F.when(F.col("organize_target") != F.col("path"), F.col("organize_target"))
     status = file_status(F.col("path"), F.col("path_type"))
     entered = rows.withColumn("_wanted", F.when(status == "ok", contest))
-    claimed = first_claims(entered, "_wanted", _claim_order(), "_first", listing)
+    claimed = _claims(entered, "_wanted", listing)
     action = (
         F.when(F.col("organize_target").isNull(), None)
         .when(status != "ok", status)

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from reelspark.functions import paths
 from reelspark.operators import assign, enrich, planning, reports, resolve
 from reelspark.operators.infer import MATCHED, TV, MediaSpec, infer
+from reelspark.operators.ordinals import with_row
 from reelspark.session import scratch_path
 from reelspark.sources.catalog import Catalog
 from reelspark.sources.tables import merge_series_ids
@@ -136,7 +137,8 @@ def process(
     """The whole run: infer, alias, fetch, rename, organise, attributes.
 
     With fetching on, names are parsed and the distinct series resolved at once, and kept as
-    tables; all the rest is one lazy plan.
+    tables; so are the rows with their targets, and the winners of the claims. The rest is one lazy
+    plan that moves the rows once.
 
     ``listing`` holds the paths that exist on disk. A file that cannot be planned keeps its
     row, with the first reason in ``status``; the others go on.
@@ -155,6 +157,8 @@ def process(
 
     target = F.when(planned, paths.rename_target(F.col("path"), F.col("display_name")))
     rows = rows.withColumn("rename_target", target if options.rename else _none())
+    if options.rename or options.organize:
+        rows = with_row(rows)  # both claims, and the plan, read these rows
     if options.rename:
         rows = planning.rename_action(rows, listing, options.simulate)
     else:

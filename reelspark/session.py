@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def tune(spark: SparkSession) -> SparkSession:
@@ -38,6 +38,25 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+def session_dir(spark: SparkSession) -> str:
+    """The folder of this application's scratch tables under the shared folder."""
+    return f"{shared_dir(spark).rstrip('/')}/scratch-{spark.sparkContext.applicationId}"
+
+
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path of its own under the shared folder."""
-    return f"{shared_dir(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new path of its own among this application's scratch tables."""
+    return f"{session_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
+def discard(table: DataFrame) -> None:
+    """Removes a scratch table that no later step reads."""
+    spark = table.sparkSession
+    for folder in {name.rsplit("/", 1)[0] for name in table.inputFiles()}:
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def clear_scratch(spark: SparkSession) -> None:
+    """Removes all scratch tables of this session. Plans made from them cannot be read any more."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(session_dir(spark))
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

@@ -72,15 +72,19 @@ def overlay(layers: DataFrame, key: str, value: str, order: list[str]) -> DataFr
     )
 
 
-def merge_series_ids(known: DataFrame, learned: DataFrame) -> DataFrame:
-    """Known IDs plus those of newly resolved series; a known entry is never replaced."""
-    new = (
+def new_series_ids(known: DataFrame, learned: DataFrame) -> DataFrame:
+    """IDs of newly resolved series that are not known yet."""
+    return (
         learned.filter(F.col("series_id") != 0)
         .groupBy("series_key")
         .agg(F.min("series_id").alias("series_id"))
         .join(known, "series_key", "left_anti")
     )
-    return known.unionByName(new)
+
+
+def merge_series_ids(known: DataFrame, learned: DataFrame) -> DataFrame:
+    """Known IDs plus those of newly resolved series; a known entry is never replaced."""
+    return known.unionByName(new_series_ids(known, learned))
 
 
 def write_version(table: DataFrame, root: str, version: int) -> str:

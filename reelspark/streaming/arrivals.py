@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +12,7 @@ from pyspark.sql.streaming import StreamingQuery
 from reelspark.operators.infer import TV, MediaSpec
 from reelspark.plans.pipeline import Options, Reference, named, process, resolution
 from reelspark.sources import schemas
-from reelspark.sources.tables import merge_series_ids, write_version
+from reelspark.sources.tables import new_series_ids, write_version
 
 
 def manifest_stream(spark: SparkSession, path: str, files_per_batch: int | None = None) -> DataFrame:
@@ -46,29 +47,39 @@ def stream_plan(
     options: Options | None = None,
     listing: DataFrame | None = None,
     spec: MediaSpec = TV,
+    claims: str | None = None,
 ) -> StreamingQuery:
     """Plans each micro-batch with the batch plan and writes it as its own version.
 
-    A batch that is run again after a failure replaces its own folder, so every file is
+    A batch that is run again after a failure replaces its own folders, so every file is
     planned exactly once. Targets that earlier batches claimed count as taken, like those in
-    ``listing``.
+    ``listing``: each batch adds the paths it gives away to ``claims`` (the sink's name with
+    ``-claims`` unless given), and later ones read only that column of paths.
     """
+    given_away = claims or f"{sink.rstrip('/')}-claims"
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        taken = listing
+        spark, taken = batch.sparkSession, listing
         if batch_id > 0:
-            earlier = claimed_targets(batch.sparkSession.read.parquet(sink), batch_id)
+            earlier = earlier_versions(spark, given_away, batch_id, "path string")
             taken = earlier if listing is None else listing.select("path").unionByName(earlier)
-        write_version(process(batch, reference, options, taken, spec), sink, batch_id)
+        plan = process(batch, reference, options, taken, spec)
+        planned = spark.read.schema(plan.schema).parquet(write_version(plan, sink, batch_id))
+        write_version(claimed_targets(planned), given_away, batch_id)
 
     return _start(files, step, checkpoint)
 
 
-def claimed_targets(plans: DataFrame, before: int) -> DataFrame:
-    """Paths that the plans of earlier batches give away; whole versions are pruned."""
-    earlier = plans.filter(F.col("version") < before)
-    names = earlier.filter(F.col("rename_action").isin("rename", "simulated"))
-    places = earlier.filter(F.col("organize_action").isin("move", "simulated"))
+def earlier_versions(spark: SparkSession, root: str, before: int, schema: str) -> DataFrame:
+    """The rows of all versions of a table before one; whole versions are pruned."""
+    versions = spark.read.schema(f"{schema}, version bigint").parquet(root)
+    return versions.filter(F.col("version") < before).drop("version")
+
+
+def claimed_targets(plan: DataFrame) -> DataFrame:
+    """Paths that a plan gives away."""
+    names = plan.filter(F.col("rename_action").isin("rename", "simulated"))
+    places = plan.filter(F.col("organize_action").isin("move", "simulated"))
     return names.select(F.col("rename_target").alias("path")).unionByName(
         places.select(F.col("organize_target").alias("path"))
     )
@@ -81,18 +92,23 @@ def stream_learn_ids(
     checkpoint: str,
     spec: MediaSpec = TV,
 ) -> StreamingQuery:
-    """Remembers the first resolution of each series: one version of the ID table per batch.
+    """Remembers the first resolution of each series: per batch, a version with its new IDs only.
 
-    Batch n reads version n - 1 (the given table for the first batch) and writes version n,
-    so a repeated batch gives the same table.
+    Batch n knows the given table and the versions before n, so a repeated batch writes the same
+    again. ``known_ids`` gives the whole table.
     """
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        known = reference.ids
-        if batch_id > 0:
-            known = batch.sparkSession.read.parquet(f"{sink}/version={batch_id - 1:020d}")
-        current = Reference(known, reference.catalog, reference.aliases, reference.index)
+        known = known_ids(batch.sparkSession, reference.ids, sink, batch_id)
+        current = replace(reference, ids=known)
         rows = named(batch, current, Options(), spec)
-        write_version(merge_series_ids(known, resolution(rows, current)), sink, batch_id)
+        write_version(new_series_ids(known, resolution(rows, current)), sink, batch_id)
 
     return _start(files, step, checkpoint)
+
+
+def known_ids(spark: SparkSession, given: DataFrame, sink: str, before: int) -> DataFrame:
+    """The given ID table with what the batches before one have learned; no series occurs twice."""
+    if before == 0:
+        return given
+    return given.unionByName(earlier_versions(spark, sink, before, "series_key string, series_id int"))

@@ -1,9 +1,8 @@
 """Numbering and claims, with one group holding a third of the rows."""
 
-import pytest
 from pyspark.sql import functions as F
 
-from reelspark.operators.ordinals import first_claims, number_rows
+from reelspark.operators.ordinals import first_claims, number_rows, with_row
 
 
 def skewed(spark, n=3000):
@@ -51,11 +50,10 @@ def test_nothing_to_number(spark):
     assert number_rows(rows, [F.col("id")], ["grp"], "n").count() == 0
 
 
-@pytest.mark.parametrize("lanes", [1, 7, 1024])
-def test_first_claims(spark, lanes):
+def test_first_claims(spark):
     rows = skewed(spark).withColumn("want", F.when(F.col("grp") != 5, F.concat(F.lit("t"), "grp")))
     taken = spark.createDataFrame([("t7",), ("t7",), ("nobody",)], "gone string")
-    got = first_claims(rows, "want", [F.col("key"), F.col("id")], "won", taken, lanes).collect()
+    got = first_claims(with_row(rows), "want", [F.col("key"), F.col("id")], "won", taken).collect()
     assert len(got) == 3000
     best = {}
     for r in got:
@@ -66,9 +64,18 @@ def test_first_claims(spark, lanes):
         assert r.won is wanted
 
 
+def test_equal_claims_have_one_winner(spark):
+    """The same file listed twice: one row wins, whatever the order says."""
+    rows = with_row(spark.createDataFrame([("t", 0, "a")] * 3 + [("t", 1, "b"), (None, 0, "c")], "want string, ord int, path string"))
+    got = first_claims(rows, "want", [F.col("ord"), F.col("path")], "won").collect()
+    assert sorted((r.path, str(r.won)) for r in got) == [("a", "False"), ("a", "False"), ("a", "True"), ("b", "False"), ("c", "None")]
+
+
 def test_hot_target_is_spread(spark):
-    """No task of the claim windows gets more than a small part of a hot target."""
-    rows = spark.range(20_000).select(F.lit("one").alias("want"), "id")
-    parts = first_claims(rows, "want", [F.col("id")], "won").select(F.spark_partition_id().alias("p"))
+    """No task gets more than a small part of a hot target."""
+    rows = with_row(spark.range(20_000).select(F.lit("one").alias("want"), "id"))
+    claimed = first_claims(rows, "want", [F.col("id")], "won")
+    assert claimed.filter("won").count() == 1
+    parts = claimed.select(F.spark_partition_id().alias("p"))
     sizes = [r["count"] for r in parts.groupBy("p").count().collect()]
     assert sum(sizes) == 20_000 and max(sizes) < 5_000

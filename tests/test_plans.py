@@ -314,6 +314,7 @@ def test_stream_is_batch(spark, manifest, reference, listing, arrivals_dir, tmp_
     arrivals.stream_plan(files, reference, sink, str(tmp_path / "state"), Options(), listing).awaitTermination()
     streamed = spark.read.parquet(sink)
     assert streamed.select("version").distinct().count() == 4
+    assert spark.read.parquet(f"{sink}-claims").columns == ["path", "version"]
     batch = pipeline.process(manifest, reference, Options(), listing)
     assert sorted(map(str, streamed.drop("version").collect())) == sorted(map(str, batch.collect()))
     # Nothing new: a second start plans nothing again.
@@ -325,8 +326,10 @@ def test_stream_learns_ids(spark, reference, arrivals_dir, tmp_path):
     sink = str(tmp_path / "ids")
     files = arrivals.manifest_stream(spark, arrivals_dir, 1)
     arrivals.stream_learn_ids(files, reference, sink, str(tmp_path / "state")).awaitTermination()
-    last = spark.read.parquet(f"{sink}/version={3:020d}")
-    assert sorted(r[:] for r in last.collect()) == [("day harbor", 2), ("night harbor", 1)]
+    whole = arrivals.known_ids(spark, reference.ids, sink, 4)
+    assert sorted(r[:] for r in whole.collect()) == [("day harbor", 2), ("night harbor", 1)]
+    learned = spark.read.parquet(sink).select("series_key", "series_id")
+    assert learned.count() + reference.ids.count() == 2  # each version holds its new IDs only
 
 
 def test_stream_dedup(spark, tmp_path):
