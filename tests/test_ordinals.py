@@ -1,7 +1,10 @@
 """Numbering and claims, with one group holding a third of the rows."""
 
+import os
+
 from pyspark.sql import functions as F
 
+from reelspark import session
 from reelspark.operators.ordinals import first_claims, number_rows, with_row
 
 
@@ -79,3 +82,15 @@ def test_hot_target_is_spread(spark):
     parts = claimed.select(F.spark_partition_id().alias("p"))
     sizes = [r["count"] for r in parts.groupBy("p").count().collect()]
     assert sum(sizes) == 20_000 and max(sizes) < 5_000
+
+
+def test_scratch_tables_can_go(spark, monkeypatch):
+    """A table is discarded by its files; clearing takes the folder of the application, and no more."""
+    own = session.shared_dir(spark) + "/own"
+    monkeypatch.setattr(session, "session_dir", lambda _: own)
+    one, two = with_row(spark.range(3)), with_row(spark.range(4))
+    session.discard(one)
+    local = own.removeprefix("file:")
+    assert two.count() == 4 and len(os.listdir(local)) == 1
+    session.clear_scratch(spark)
+    assert not os.path.exists(local)
