@@ -2,7 +2,8 @@
 
 Lexicon: words, and stems (beginnings of words), that stand in toxic documents far more often than in
 others. A token is run through the trie of the lexicon together with a Levenshtein automaton, so
-misspelled terms are found without comparing it with each of them. A hit inside quotation marks counts
+misspelled terms are found without comparing it with each of them; a token that the labels show
+to be a word of its own, common in other documents, is no misspelling. A hit inside quotation marks counts
 less than one said straight. A logistic curve over the hits gives the score.
 """
 
@@ -50,16 +51,21 @@ def _counted(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame({"term": keys, "toxic": [toxic[k] for k in keys], "other": [other[k] for k in keys]})
 
 
-def lexicon(rows: DataFrame, size: int = LEXICON) -> list[str]:
-    """The terms with the most evidence, from (text, y); stems replace the words they begin."""
+def lexicon(rows: DataFrame, size: int = LEXICON) -> tuple[list[str], set[str]]:
+    """The terms with the most evidence, from (text, y), and the words near them that are no misspellings.
+
+    Stems replace longer stems and words under FUZZY_FROM letters that they begin. Other words stay beside
+    them, as a misspelling in the first letters is only met through the whole word.
+    """
     y = rows.groupBy("y").count().toPandas().set_index("y")["count"]
     n_toxic, n_other = int(y.get(1, 0)), int(y.get(0, 0))
     if not n_toxic or not n_other:
-        return []
-    sums = (
+        return [], set()
+    sums = written(
         rows.mapInPandas(_counted, "term string, toxic long, other long")
         .groupBy("term")
-        .agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other"))
+        .agg(F.sum("toxic").alias("toxic"), F.sum("other").alias("other")),
+        "terms",
     )
     both = F.col("toxic") + F.col("other")
     share = n_toxic / (n_toxic + n_other)
@@ -76,9 +82,22 @@ def lexicon(rows: DataFrame, size: int = LEXICON) -> list[str]:
     found: set[str] = set()
     for term in sorted(best, key=lambda t: (not t.endswith(STEM), len(t), t)):
         word = term.removesuffix(STEM)
-        if not any(word[:n] + STEM in found for n in STEMS if n <= len(word)):
+        whole = word == term and len(word) >= FUZZY_FROM
+        if whole or not any(word[:n] + STEM in found for n in STEMS if n <= len(word)):
             found.add(term)
-    return sorted(found)
+    known = sorted(found)
+    others = sums.where((F.col("other") > 0) & (ratio < RATIO) & ~F.endswith("term", F.lit(STEM))).select("term")
+    own = others.mapInPandas(_fuzzy(known), "term string").toPandas()["term"]  # an edit away from a term of the lexicon
+    return known, set(own)
+
+
+def _fuzzy(lexicon: list[str]):
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        matcher = Matcher(lexicon)
+        for batch in batches:
+            yield batch[[matcher.weight(t) == FUZZY_WEIGHT for t in batch["term"]]]
+
+    return run
 
 
 @dataclass
@@ -89,11 +108,12 @@ class Node:
 
 
 class Matcher:
-    """Looks tokens up in the lexicon: exactly, by stem, or within an edit or two."""
+    """Looks tokens up in the lexicon: exactly, by stem, or within an edit or two unless they are words of their own."""
 
-    def __init__(self, lexicon: list[str], remember: int = 200_000):
+    def __init__(self, lexicon: list[str], own: set[str] | None = None, remember: int = 200_000):
         self.words = {t for t in lexicon if not t.endswith(STEM)}
         self.stems = {t.removesuffix(STEM) for t in lexicon if t.endswith(STEM)}
+        self.own = own or set()
         self.root, self.seen, self.remember = Node(), {}, remember
         self.heads: set[tuple[int, str]] = set()
         self.tails: set[tuple[int, str]] = set()
@@ -152,7 +172,7 @@ class Matcher:
         if known is None:
             if token in self.words or any(token[:n] in self.stems for n in STEMS if n <= len(token)):
                 known = 1.0
-            elif len(token) >= FUZZY_FROM - 1 and self._may_be_near(token) and self.near(token):
+            elif len(token) >= FUZZY_FROM - 1 and token not in self.own and self._may_be_near(token) and self.near(token):
                 known = FUZZY_WEIGHT
             else:
                 known = 0.0
@@ -173,9 +193,9 @@ class Matcher:
         return total
 
 
-def _hits(lexicon: list[str]):
+def _hits(lexicon: list[str], own: set[str]):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(lexicon)
+        matcher = Matcher(lexicon, own)
         for batch in batches:
             yield pd.DataFrame({"y": batch["y"], "hits": [matcher.hits(t) for t in batch["text"]]})
 
@@ -196,9 +216,9 @@ def curve(hits: np.ndarray, y: np.ndarray, n: np.ndarray, ridge: float = 1.0) ->
     return weights
 
 
-def _scored(lexicon: list[str], weights: np.ndarray):
+def _scored(lexicon: list[str], own: set[str], weights: np.ndarray):
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        matcher = Matcher(lexicon)
+        matcher = Matcher(lexicon, own)
         for batch in batches:
             hits = np.array([matcher.hits(t) for t in batch["text"]], float)
             score = 1.0 / (1.0 + np.exp(-(_features(hits) @ weights)))
@@ -218,13 +238,13 @@ def toxicity(docs: DataFrame, labels: DataFrame, modulus: int = 4, held_out: int
     learned = written(labelled(docs, labels, "toxic", modulus, held_out, bound), "labels")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     train = written(rows.join(F.broadcast(learned), "doc_id").select("text", "y"), "train")  # bound rows at most
-    known = lexicon(train)
-    sums = train.mapInPandas(_hits(known), "y int, hits double").groupBy("hits").agg(F.sum("y").alias("y"), F.count("*").alias("n"))
+    known, own = lexicon(train)
+    sums = train.mapInPandas(_hits(known, own), "y int, hits double").groupBy("hits").agg(F.sum("y").alias("y"), F.count("*").alias("n"))
     bins = sums.groupBy(F.round(F.log1p("hits") * 50).alias("bin")).agg(
         F.avg("hits").alias("hits"), F.sum("y").alias("y"), F.sum("n").alias("n")
     ).toPandas()  # a few hundred bins of a logarithm
     n = bins["n"].to_numpy(float)
     weights = curve(bins["hits"].to_numpy(float), bins["y"].to_numpy(float) / n, n) if bins["y"].sum() else np.array([0.0, 0.0, -20.0])
-    scored = rows.mapInPandas(_scored(known, weights), "doc_id long, score double")
+    scored = rows.mapInPandas(_scored(known, own, weights), "doc_id long, score double")
     fold = (remainder(modulus) == held_out).alias("held_out")
     return scored.select("doc_id", fold, "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))

@@ -130,6 +130,24 @@ def test_quotation_counts_less():
     assert 0 < matcher.hits("a nasti thing") < 1 and matcher.hits(None) == 0
 
 
+def test_learned_terms_are_met_misspelled(spark):
+    """Stems of the learned terms are learned as well and must not take the whole words out of the trie."""
+    docs, toxic = [], []
+    for i in range(400):
+        word = ["stupid", "disgusting", "worthless"][i % 3] if i < 120 else "oron"
+        docs.append((i, f"{prose(i, 20)} {word} {prose(i + 1000, 20)}"))
+        toxic.append((i, int(i < 120)))
+    docs += [(i, f"{prose(i, 20)} moron {prose(i + 1000, 20)}") for i in range(400, 440)]
+    toxic += [(i, 1) for i in range(400, 440)]
+    spoiled = ["tsupid", "xtupid", "stpid", "dsigusting", "digusting", "wurthless", "owrthless", "mroon"]
+    docs += [(1000 + i, f"{prose(i + 5000, 20)} {w} {prose(i + 6000, 20)}") for i, w in enumerate([*spoiled, "oron", "und"])]
+    got = toxicity(
+        spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(toxic, "doc_id long, toxic int")
+    ).where("doc_id >= 1000").collect()
+    found = {r.doc_id - 1000: r.predicted for r in got}
+    assert [found[i] for i in range(len(found))] == [1] * len(spoiled) + [0, 0]
+
+
 def test_isotonic_is_monotone_and_pools():
     x, rate = isotonic(np.array([0.0, 1, 2, 3]), np.array([0.0, 3, 1, 4]), np.array([4.0, 4, 4, 4]))
     assert np.allclose(rate, [0.0, 0.5, 1.0]) and np.allclose(x, [0.0, 1.5, 3.0])
