@@ -179,6 +179,19 @@ def test_repetition_rejects_what_the_base_rule_lets_pass(spark):
     assert not got.kept
 
 
+def test_repetition_rejects_a_fifth_to_two_fifths_of_normal_lines(spark):
+    docs = []
+    for i, (copies, words, others) in enumerate([(2, 30, 70), (3, 12, 64), (4, 12, 62), (5, 12, 65), (4, 30, 130)]):
+        line, rest = prose(60 + i, words), prose(80 + i, others).split()
+        parts = [" ".join(rest[k :: copies]) for k in range(copies)]
+        docs.append((i, "\n".join(x for part in parts for x in (part, line))))
+        assert 0.2 < (copies - 1) * words / (copies * words + others) < 0.4
+    clean = prose(90, 9)
+    docs += [(10, "\n".join([clean, prose(91, 56), clean])), (11, "\n".join([clean, prose(92, 600), clean]))]
+    got = {r.doc_id: (r.base_failed, r.kept) for r in repetition(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {i: (False, False) for i in range(5)} | {10: (False, True), 11: (False, True)}
+
+
 def test_repeats_match_brute_force(spark, empty):
     rng = random.Random(1)
     base = "".join(rng.choice("ab c") for _ in range(3000))
