@@ -29,7 +29,7 @@ BASE = {
 #: Cheap tests that a text has to pass before a pattern is tried.
 HINT = {"email": "@", "ip": r"[0-9]\.[0-9]+\.[0-9]", "card": r"[0-9](?:[ -]?[0-9]){12}", "phone": r"\+[0-9]"}
 #: Tokens that may be identifiers: with an at sign, or with four digits.
-CANDIDATE = r"(?<!\S)[^\s0-9@]*+(?:@|(?:[0-9][^\s0-9@]*+){4})\S*+"
+CANDIDATE = r"(?<!\S)(?:[^\s@]*+@|[^\s0-9]*+(?:[0-9][^\s0-9]*+){4})\S*+"
 CONTEXT = 60
 
 

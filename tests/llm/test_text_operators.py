@@ -142,6 +142,19 @@ def test_contexts_discover_unseen_identifiers(spark):
     assert "write to [EMAIL] for help" in masked[8] and masked[9] == docs[9][1]
 
 
+def test_discovery_meets_tokens_with_few_digits_before_the_at_sign(spark):
+    docs = [(i, f"{prose(i, 8)} write to user{i}@mail.example.org for help {prose(i + 50, 8)}") for i in range(20)]
+    found = ["anna@intranet", "anna8@intranet", "anna84@intranet", "a1b2c3@intranet", "anna84@m\u00fcller.de", "8anna@intranet"]
+    docs += [(30 + i, f"{prose(70 + i, 8)} write to {t} for help {prose(90 + i, 8)}") for i, t in enumerate(found)]
+    table = spark.createDataFrame(docs, "doc_id long, text string")
+    spans = {r.doc_id: r.spans for r in personal_data(table).collect()}
+    for i, t in enumerate(found):
+        at = docs[20 + i][1].index(t)
+        assert spans[30 + i] == f"email:{at}:{at + len(t)}"
+    masked = {r.doc_id: r.text for r in mask_docs(table).collect()}
+    assert all("write to [EMAIL] for help" in masked[30 + i] for i in range(len(found)))
+
+
 def test_masking_changes_spans_only(spark, awkward):
     masked = mask_docs(awkward)
     assert masked.columns == awkward.columns and masked.count() == len(PAIRS)
