@@ -23,6 +23,7 @@ FEATURES = 160
 WIDTH = 2.5  # of the kernel, in standard deviations of one statistic
 RIDGE = 1e-3
 BINS = 400
+BLOCK = 1 << 20  # bytes given to the compressor at a time
 #: At most about so many labelled rows are learned from.
 LABELLED = 50_000
 SYMBOLS = b"#*$%&|<>{}[]=_~^@\\/"
@@ -32,6 +33,13 @@ STATISTICS = (
 )
 
 
+def _squeezed(raw: bytes) -> int:
+    """Size of the whole text compressed, without holding the result."""
+    packer = zlib.compressobj(1)
+    blocks = (raw[i : i + BLOCK] for i in range(0, len(raw), BLOCK))
+    return sum(len(packer.compress(block)) for block in blocks) + len(packer.flush())
+
+
 def statistics(text: str | None) -> list[float]:
     """Shape of a text in numbers, zero for an empty one."""
     raw = (text or "").encode()
@@ -59,7 +67,7 @@ def statistics(text: str | None) -> list[float]:
         max(counts.values()) / n,
         float(np.log1p(n / len(lines))),
         1.0 - len(set(lines)) / len(lines),
-        len(zlib.compress(raw[: 1 << 20], 1)) / min(size, 1 << 20) if size > 200 else 1.0,
+        _squeezed(raw) / size if size > 200 else 1.0,
     ]
 
 

@@ -13,7 +13,7 @@ import corpus_pipeline
 from reelspark.llm.calibration import calibrated, isotonic
 from reelspark.llm.language import grams, language
 from reelspark.llm.packing import cuts, pack, plan, token_ids
-from reelspark.llm.quality import quality
+from reelspark.llm.quality import STATISTICS, quality, statistics
 from reelspark.llm.toxicity import Matcher, toxicity
 from reelspark.llm.warc import END, export_warc, page_records, read_archive, write_archive
 
@@ -46,6 +46,16 @@ def test_quality_on_held_out_rows(given):
     assert accuracy(got, marks(given, "quality")) > 0.95
 
 
+def test_squeeze_is_of_the_whole_text():
+    squeeze = STATISTICS.index("squeeze")
+    text = prose(1, 300_000)
+    head = text[: 1 << 20]
+    assert len(text) > 1 << 20
+    for whole in (head + "junk line\n" * 300_000, text, head[:5000]):
+        assert statistics(whole)[squeeze] == len(zlib.compress(whole.encode(), 1)) / len(whole)
+    assert statistics(head + "junk line\n" * 300_000)[squeeze] < 0.5 * statistics(head)[squeeze]
+
+
 def test_toxicity_on_held_out_rows(given):
     got = toxicity(given["documents"], given["labels"]).collect()
     assert len(got) == given["documents"].count()
