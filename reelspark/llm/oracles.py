@@ -1,7 +1,7 @@
 """The same results as SQL for DuckDB, for the queries that SQL can express over whole tables.
 
 No SQL for: op1 and the pipeline (XXH64 and a tokenizer), op2, op7, op10 (models), op5 and op6 (the method's own
-verdicts beside the base ones), op8 (tokenizer), op9 (a row per byte: too slow).
+verdicts beside the base ones), op8 and op12 (tokenizers), op9 (a row per byte: too slow), op13 (rounds over learned codebooks).
 """
 
 from __future__ import annotations
@@ -48,4 +48,49 @@ SELECT page_id, payload_bytes, sha1(html) AS payload_digest,
 FROM page LEFT JOIN kept USING (html)
 """
 
-ORACLES = {"op3_decontaminate": _DECONTAMINATE, "op4_warc": _WARC}
+_FILTERS = r"""
+WITH doc AS (
+  SELECT doc_id, coalesce(source, '') AS part, coalesce(text, '') AS text,
+    regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS words FROM documents
+),
+failed AS (
+  SELECT doc_id, part, len(words) < 200 AS a, 100 * len(list_distinct(words)) < 50 * len(words) AS b,
+    100 * length(regexp_replace(text, '[^A-Z]+', '', 'g')) > 2 * length(text) AS c, regexp_matches(text, '[#$%&*|]') AS d,
+    coalesce(doc_id > min(doc_id) OVER (PARTITION BY text), false) AS e FROM doc
+),
+lab AS (
+  SELECT doc_id, CAST(bool_or(coalesce(quality, 0) = 1) AS INT) AS good, CAST(bool_or(coalesce(toxic, 0) = 1) AS INT) AS toxic
+  FROM labels GROUP BY 1
+),
+cell AS (
+  SELECT part, CAST(a AS INT) + 2 * CAST(b AS INT) + 4 * CAST(c AS INT) + 8 * CAST(d AS INT) + 16 * CAST(e AS INT) AS mask,
+    count(*) AS n, sum(coalesce(good, 0)) AS good, sum(coalesce(toxic, 0)) AS toxic
+  FROM failed LEFT JOIN lab USING (doc_id) GROUP BY 1, 2
+),
+letter AS (SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l),
+orders AS (
+  SELECT v.l || w.l || x.l || y.l || z.l AS filter_order FROM letter v, letter w, letter x, letter y, letter z
+  WHERE len(list_distinct([v.l, w.l, x.l, y.l, z.l])) = 5
+),
+place AS (SELECT filter_order, unnest(range(1, 6)) AS step FROM orders),
+step AS (
+  SELECT filter_order, step, 1 << (ascii(filter_order[step]) - 65) AS own,
+    coalesce(list_sum([1 << (ascii(filter_order[i]) - 65) for i in range(1, step)]), 0)::INT AS earlier FROM place
+),
+counted AS (
+  SELECT part, filter_order, step, own,
+    sum(n) FILTER (WHERE mask & (earlier | own) = 0) AS kept, sum(n) FILTER (WHERE mask & earlier = 0 AND mask & own > 0) AS removed,
+    sum(n) FILTER (WHERE mask & earlier > 0 AND mask & own > 0) AS redundant, sum(n) FILTER (WHERE mask = own) AS unique_fails,
+    sum(good) FILTER (WHERE mask & earlier = 0 AND mask & own > 0) AS good_lost,
+    sum(toxic) FILTER (WHERE mask & earlier = 0 AND mask & own > 0) AS toxic_lost
+  FROM cell, step GROUP BY ALL
+)
+SELECT part, filter_order, CAST(step AS INT) AS step, CAST(coalesce(kept, 0) AS BIGINT) AS kept,
+  CAST(coalesce(removed, 0) AS BIGINT) AS removed, CAST(coalesce(redundant, 0) AS BIGINT) AS redundant,
+  CAST(coalesce(unique_fails, 0) AS BIGINT) AS unique_fails, CAST(coalesce(good_lost, 0) AS BIGINT) AS good_lost,
+  CAST(coalesce(toxic_lost, 0) AS BIGINT) AS toxic_lost,
+  CAST(sum(coalesce(removed, 0)) OVER (PARTITION BY part, own) AS BIGINT) AS shapley
+FROM counted
+"""
+
+ORACLES = {"op3_decontaminate": _DECONTAMINATE, "op4_warc": _WARC, "op11_filter_audit": _FILTERS}

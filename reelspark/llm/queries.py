@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from reelspark.llm.common import table
 from reelspark.llm.decontaminate import contamination
+from reelspark.llm.interactions import filter_audit
 from reelspark.llm.language import language
 from reelspark.llm.packing import pack
 from reelspark.llm.pii import personal_data
@@ -58,10 +59,14 @@ def op10_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language(table(spark, sf_dir, "documents"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_quality, op3_decontaminate, op4_warc, op5_pii, op6_repetition, op7_toxicity, op8_packing, op9_repeats,
-        op10_language,
+        op10_language, op11_filter_audit,
     )
 }
