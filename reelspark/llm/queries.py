@@ -14,6 +14,7 @@ from reelspark.llm.quality import quality
 from reelspark.llm.repeats import remove_repeats
 from reelspark.llm.repetition import repetition
 from reelspark.llm.simhash import simhash_groups
+from reelspark.llm.tiers import tier_pack
 from reelspark.llm.toxicity import toxicity
 from reelspark.llm.warc import page_records
 from reelspark.session import scratch_path
@@ -63,10 +64,14 @@ def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op12_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return tier_pack(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_quality, op3_decontaminate, op4_warc, op5_pii, op6_repetition, op7_toxicity, op8_packing, op9_repeats,
-        op10_language, op11_filter_audit,
+        op10_language, op11_filter_audit, op12_tier_packing,
     )
 }
