@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from reelspark.llm.common import table
 from reelspark.llm.decontaminate import contamination
+from reelspark.llm.gnat import vector_codes
 from reelspark.llm.interactions import filter_audit
 from reelspark.llm.language import language
 from reelspark.llm.packing import pack
@@ -68,10 +69,14 @@ def op12_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tier_pack(table(spark, sf_dir, "documents"))
 
 
+def op13_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vector_codes(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
         op1_simhash, op2_quality, op3_decontaminate, op4_warc, op5_pii, op6_repetition, op7_toxicity, op8_packing, op9_repeats,
-        op10_language, op11_filter_audit, op12_tier_packing,
+        op10_language, op11_filter_audit, op12_tier_packing, op13_vector_codes,
     )
 }
