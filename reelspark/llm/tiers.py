@@ -73,6 +73,7 @@ class Encoder:
         shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
         hidden = [b for b in range(256) if b not in shown]
         alphabet = {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
+        self.odd = [self.MARK, *self.special]
         ranks, numbers, mark = {}, [], self.MARK.encode()
         for token, number in sorted(self.full.get_vocab().items(), key=lambda item: item[1]):
             body = token.removesuffix(self.END)
@@ -86,14 +87,15 @@ class Encoder:
 
     def ids(self, text: str | None) -> np.ndarray:
         text = text or ""
-        plain = not any(s in text for s in (self.MARK, *self.special))
-        if not text.isascii():
-            plain = plain and unicodedata.is_normalized("NFC", text) and not _unassigned().search("".join(set(text)))
+        plain = not any(s in text for s in self.odd)
+        if plain and not text.isascii():
+            plain = unicodedata.is_normalized("NFC", text) and not _unassigned().search("".join(set(text)))
         if not plain:
             return np.array(self.full.encode(text, add_special_tokens=False).ids, np.int64)
         # One letter has another lower case at the end of a word; the file's rule goes by letters alone.
         words = self.words.findall(text.replace("\u03a3", "\u03c3").lower())
-        return self.numbers[self.fast.encode_ordinary("".join(w + self.MARK for w in words))] if words else np.zeros(0, np.int64)
+        words.append("")  # so that the last word has its mark
+        return self.numbers[self.fast.encode_ordinary(self.MARK.join(words))]
 
 
 @lru_cache(maxsize=1)
@@ -181,26 +183,26 @@ Pattern = tuple[int, int, list[tuple[int, list[tuple[int, int, int, int, int]]]]
 def plan(histogram: np.ndarray, tiers: tuple[int, ...] = TIERS) -> list[Pattern]:
     """Patterns that use up the histogram, every window full.
 
-    A gap that no whole pieces fill takes the head of the shortest piece longer than it; the tail goes back to
-    stock. The last tokens, fewer than one window, become windows of the powers of two they add up to.
+    A gap that no whole pieces fill takes the head of a longer piece; the tail goes back to stock. The last tokens, fewer than one window, become windows of the powers of two they add up to.
     """
     stock, out = Stock(histogram), []
     for window, shorter in zip(tiers, [*tiers[1:], 0]):
         while (own := np.nonzero(stock.count[shorter + 1 : window + 1])[0]).size:
             shape, room = _filling(stock.count, int(own[-1]) + shorter + 1, window)
-            cut = []
+            lengths, times = np.unique(shape, return_counts=True)
+            repeats, slots, offset, cut = int((stock.count[lengths] // times).min()), [], 0, []
             if room:
-                spare = stock.count.copy()
-                np.subtract.at(spare, shape, 1)
-                cut = np.nonzero(spare[room + 1 :])[0][:1] + room + 1
-                if not len(cut):
+                # Of the longer pieces, those are cut that fill most windows: a rare one would be cut again and again.
+                filled = np.minimum(repeats, stock.count[: window + 1])
+                filled[lengths] = np.minimum(repeats, stock.count[lengths] // (times + 1))
+                filled[: room + 1] = 0
+                repeats, cut = int(filled.max()), [int(filled.argmax())]
+                if not repeats:
                     return out + _tail(stock)
-            lengths, times = np.unique([*shape, *cut], return_counts=True)
-            repeats, slots, offset = int((stock.count[lengths] // times).min()), [], 0
             for n in shape:
                 slots.append((offset, stock.take(n, repeats)))
                 offset += n
-            for n in map(int, cut):
+            for n in cut:
                 whole = stock.take(n, repeats)
                 slots.append((offset, [(o, lo, lo + room, rank, c) for o, lo, hi, rank, c in whole]))
                 stock.give([(o, lo + room, hi, rank, c) for o, lo, hi, rank, c in whole])
