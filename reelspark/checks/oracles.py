@@ -89,13 +89,13 @@ def shorter_names(x: str) -> str:
 
 
 def pairs_sql(queries: str) -> str:
-    """Every query beside every name, kept where equal, a character, a word or blanks apart, or with three quarters of the words."""
+    """Every query beside every name, kept where equal, a character, a word or blanks apart, or with half of all words in common."""
     words = lambda x: f"list_distinct(string_split({x}, ' '))"
     return f"""
 select query_key, name_key, show_id, n_shows,
   round(case when query_key = name_key then 1.0 else greatest(
     case when by_word then 1 - 1.0 / words else 0 end, case when by_char then 1 - 1.0 / chars else 0 end,
-    case when share >= 0.75 then least(share, 1 - 1.0 / (words + 1)) else 0 end) end::double, 6) score
+    case when share >= 0.5 then least(share, 1 - 1.0 / (words + 1)) else 0 end) end::double, 6) score
 from (select *, common::double / (len(q_words) + len(n_words) - common) share
   from (select *, query_key = name_key or list_contains(q_shorter, name_key) or list_contains(n_shorter, query_key) by_word,
         query_key = name_key or q_joined = n_joined
@@ -107,7 +107,7 @@ from (select *, common::double / (len(q_words) + len(n_words) - common) share
               replace(query_key, ' ', '') q_joined from {queries}) q,
            (select *, {shorter_names('name_key')} n_shorter, {words('name_key')} n_words,
               replace(name_key, ' ', '') n_joined from o_index) n))
-where by_word or by_char or share >= 0.75"""
+where by_word or by_char or share >= 0.5"""
 
 
 def j(path: str, of: str = "payload") -> str:

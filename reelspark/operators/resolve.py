@@ -94,13 +94,15 @@ def unresolved_series(rows: DataFrame, ids: DataFrame, field: str = "series") ->
 #   e  the name                                     equal names
 #   i  / x  the name / all names one character shorter    one character more or fewer
 #   s  the name with one character blotted out      one character replaced
-#   w  / v  the name / all names one word shorter         one word more or fewer
+#   w  / v  the name / all names one word shorter         one word more or fewer (thresholds over 0.5)
 #   b  the name without blanks                      blanks only
 # Words in common: see word_pairs. No name is compared with all others and no candidate is cut off.
 
-# Share of all words of two names (Jaccard) from which they are candidates. At one half, names of
-# three words that share two would all pair up: quadratic where the vocabulary is small.
-SIMILARITY = 0.75
+# Share of all words of two names (Jaccard) from which they are candidates.
+SIMILARITY = 0.5
+
+# Names of up to so many words meet on two words at once; longer ones have rare words enough to meet on one.
+PAIRED = 12
 
 
 def name_index(shows: DataFrame) -> DataFrame:
@@ -117,30 +119,34 @@ def _tagged(tag: str, text: Column) -> Column:
     return F.concat(F.lit(tag), text)
 
 
-def _signatures(name: str, query_side: bool) -> Column:
-    """All signatures of a name. The two sides swap the roles of whole and shortened names."""
+def _signatures(name: str, query_side: bool, similarity: float) -> Column:
+    """All signatures of a name. The two sides swap the roles of whole and shortened names.
+
+    Names one word apart have half of their words in common at least, so up to that threshold
+    they meet by their words and need no signature.
+    """
     text, words = F.col(name), F.split(F.col(name), " ")
     whole_char, short_char = ("i", "x") if query_side else ("x", "i")
     whole_word, short_word = ("v", "w") if query_side else ("w", "v")
     places = F.sequence(F.lit(1), F.length(text))
     before = lambda i: F.substring(text, F.lit(1), i - 1)
     after = lambda i: F.substring(text, i + 1, F.length(text))
-    without_word = lambda i: F.array_join(
-        F.concat(F.slice(words, F.lit(1), i - 1), F.slice(words, i + 1, F.size(words))), " "
-    )
     shorter = F.transform(places, lambda i: _tagged(short_char, F.concat(before(i), after(i))))
     blotted = F.transform(places, lambda i: _tagged("s", F.concat(before(i), F.lit("\0"), after(i))))
+    joined = F.replace(text, F.lit(" "), F.lit(""))
+    whole = [_tagged("e", text), _tagged("b", joined), _tagged(whole_char, text)]
+    if similarity <= 0.5:
+        return F.array_distinct(F.concat(F.array(*whole), shorter, blotted))
     fewer = F.when(
         F.size(words) > 1,
-        F.transform(
-            F.sequence(F.lit(1), F.size(words)), lambda i: _tagged(short_word, without_word(i))
-        ),
+        F.transform(F.sequence(F.lit(1), F.size(words)), lambda i: _tagged(short_word, _without(words, i))),
     ).otherwise(F.array().cast("array<string>"))
-    joined = F.replace(text, F.lit(" "), F.lit(""))
-    whole = F.array(
-        _tagged("e", text), _tagged("b", joined), _tagged(whole_char, text), _tagged(whole_word, text)
-    )
-    return F.array_distinct(F.concat(whole, shorter, blotted, fewer))
+    return F.array_distinct(F.concat(F.array(*whole, _tagged(whole_word, text)), shorter, blotted, fewer))
+
+
+def _without(words: Column, i: Column) -> Column:
+    """A name less its i-th word."""
+    return F.array_join(F.concat(F.slice(words, F.lit(1), i - 1), F.slice(words, i + 1, F.size(words))), " ")
 
 
 def _score(tag: Column, query: Column, name: Column) -> Column:
@@ -155,74 +161,116 @@ def _score(tag: Column, query: Column, name: Column) -> Column:
     )
 
 
-def _rare_first(names: DataFrame, name: str, frequency: DataFrame, similarity: float) -> DataFrame:
-    """Adds ``_words``: the distinct words of each name, rarest first, and ``_prefix``.
-
-    Two names with so great a share of words in common share one of the first
-    ``n - ceil(similarity * n) + 1`` words of either: the prefix.
-    """
+def _rare_first(names: DataFrame, name: str, frequency: DataFrame) -> DataFrame:
+    """Adds ``_words``: the distinct words of each name, rarest first."""
     words = names.select(name, F.explode(F.array_distinct(F.split(name, " "))).alias("_word"))
     counted = attach(words, frequency, {"_word": F.col("_word")}, ["_n"])
     order = F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_word").alias("word"))
-    ordered = counted.groupBy(name).agg(F.sort_array(F.collect_list(order))["word"].alias("_words"))  # one name's words
-    size = F.size("_words")
-    needed = F.ceil(size * similarity - 1e-9).cast("int")
-    return ordered.withColumn("_prefix", F.slice("_words", F.lit(1), size - needed + 1))
+    return counted.groupBy(name).agg(F.sort_array(F.collect_list(order))["word"].alias("_words"))  # one name's words
+
+
+def _word_keys(ordered: DataFrame, query_side: bool, similarity: float) -> DataFrame:
+    """A row per key on which a name can meet another: ``_nq, _nn`` (words of query and name), ``_first, _second``.
+
+    For two names with n and m words, the threshold names the number of common words they need. Two names
+    with so many meet on ``meet`` (one or two) words among the first ``n - needed + meet`` of either. ``_at`` is the
+    place of the last word of the key. Beside it, the lengths that a score needs.
+    """
+    name, n, m = ordered.columns[0], F.size("_words"), F.col("_m")
+    sizes = F.sequence(F.ceil(n * similarity - 1e-9).cast("int"), F.floor(n / similarity + 1e-9).cast("int"))
+    needed = F.ceil((n + m) * (similarity / (1 + similarity)) - 1e-9).cast("int")
+    sized = ordered.withColumns({"_chars": F.length(name), "_all": F.size(F.split(name, " "))})
+    sized = sized.withColumn("_m", F.explode(sizes)).withColumn("_needed", needed)
+    meet = F.when((F.col("_needed") > 1) & (n <= PAIRED) & (m <= PAIRED), 2).otherwise(1)
+    sized = sized.withColumn("_meet", meet).withColumn("_prefix", F.slice("_words", F.lit(1), n - F.col("_needed") + F.col("_meet")))
+    sized = sized.select("*", F.posexplode("_prefix").alias("_i", "_first"))
+    one = F.array(F.struct(F.col("_i").alias("at"), F.lit("").alias("word")))
+    more = F.slice("_prefix", F.col("_i") + 2, F.greatest(F.size("_prefix") - F.col("_i") - 1, F.lit(0)))
+    two = F.transform(more, lambda word, k: F.struct((F.col("_i") + 1 + k).alias("at"), word.alias("word")))
+    keyed = sized.select("*", F.explode(F.when(F.col("_meet") == 1, one).otherwise(two)).alias("_last"))
+    sides = (n, m) if query_side else (m, n)
+    return keyed.select(
+        *ordered.columns, "_chars", "_all", sides[0].alias("_nq"), sides[1].alias("_nn"), "_first",
+        F.col("_last.word").alias("_second"), F.col("_last.at").alias("_at"), "_meet", "_needed",
+    )
 
 
 def word_pairs(asked: DataFrame, index: DataFrame, similarity: float = SIMILARITY) -> DataFrame:
-    """All pairs of a query and a name with at least that share of words in common.
+    """All pairs of a query and a name, not equal, with at least that share of words in common.
 
-    ``query_key, name_key, score, show_id, n_shows``. Pairs meet on the rarest words that the threshold
-    makes necessary, and each only on the first such word both have; the share is then
-    exact. Equal sets of words in another order, or with repeats, score below equal names.
+    ``query_key, name_key, score, show_id, n_shows``, each pair once, with the best score of all that
+    it has in common. A pair meets where the numbers of words allow it (length filter), on the two
+    rarest words both have wherever the threshold demands two (prefix filter), and goes on if enough
+    words are left behind them (positional filter); the share is then exact. Equal sets of words in another
+    order, or with repeats, score below equal names.
     """
     every = index.select(F.explode(F.array_distinct(F.split("name_key", " "))).alias("_word"))
     frequency = every.groupBy("_word").agg(F.count("*").alias("_n"))
-    left = _rare_first(asked, "query_key", frequency, similarity)
-    right = _rare_first(index, "name_key", frequency, similarity).join(index, "name_key")
-    left = left.select("query_key", "_words", "_prefix", F.explode("_prefix").alias("_word"))
+    left = _word_keys(_rare_first(asked.select("query_key"), "query_key", frequency), True, similarity)
+    right = _word_keys(_rare_first(index.select("name_key"), "name_key", frequency).join(index, "name_key"), False, similarity)
+    on = ["_nq", "_nn", "_first", "_second"]
     right = right.select(
-        "name_key", "show_id", "n_shows", F.col("_words").alias("_others"), F.col("_prefix").alias("_offered"),
-        F.explode("_prefix").alias("_word"),
+        *on, "name_key", "show_id", "n_shows", F.col("_words").alias("_others"), F.col("_at").alias("_place"),
+        F.col("_chars").alias("_n_chars"), F.col("_all").alias("_n_all"),
     )
-    common = F.size(F.array_intersect("_words", "_others"))
-    share = common / (F.size("_words") + F.size("_others") - common)
-    words = F.greatest(F.size(F.split("query_key", " ")), F.size(F.split("name_key", " ")))
-    return (
-        left.join(right, "_word")
-        .filter(F.col("_word") == F.array_intersect("_prefix", "_offered")[0])
-        .filter((share >= similarity) & (F.col("query_key") != F.col("name_key")))
-        .select(
-            "query_key", "name_key", F.round(F.least(share, 1 - 1 / (words + 1)), 6).alias("score"), "show_id", "n_shows"
-        )
+    behind = F.least(F.col("_nq") - F.col("_at"), F.col("_nn") - F.col("_place")) - 1
+    common = F.col("_common")  # rarest first on both sides, so that it begins with the key a pair meets on first
+    pairs = (
+        left.join(right, on)
+        .filter((F.col("_meet") + behind >= F.col("_needed")) & (F.col("query_key") != F.col("name_key")))
+        # A generator is worked out once; a plain column would be again in every condition below.
+        .withColumn("_common", F.explode(F.array(F.array_intersect("_words", "_others"))))
+        .filter((F.size(common) >= F.col("_needed")) & (common[0] == F.col("_first")))
+        .filter((F.col("_meet") == 1) | (F.get(common, F.lit(1)) == F.col("_second")))
     )
+    q, n = F.split("query_key", " "), F.split("name_key", " ")
+    words, chars = F.greatest("_all", "_n_all"), F.greatest("_chars", "_n_chars")
+    share = F.size(common) / (F.col("_nq") + F.col("_nn") - F.size(common))
+    # Without repeated words, names one word apart have the same score by their share.
+    repeated = (F.col("_all") > F.col("_nq")) | (F.col("_n_all") > F.col("_nn"))
+    fewer = lambda many, few: F.exists(F.sequence(F.lit(1), F.size(many)), lambda i: _without(many, i) == F.array_join(few, " "))
+    apart = F.col("_all") - F.col("_n_all")
+    by_word = F.when(repeated & (apart == 1), fewer(q, n)).when(repeated & (apart == -1), fewer(n, q)).otherwise(False)
+    by_char = (F.abs(F.col("_chars") - F.col("_n_chars")) <= 1) & (F.levenshtein(F.col("query_key"), F.col("name_key"), 1) == 1)
+    joined = lambda name: F.replace(F.col(name), F.lit(" "), F.lit(""))
+    by_blank = (F.col("_chars") - F.col("_n_chars") == apart) & (joined("query_key") == joined("name_key"))
+    score = F.greatest(
+        F.least(share, 1 - 1 / (words + 1)),
+        F.when(by_word, 1 - 1 / words).otherwise(0),
+        F.when(by_char | by_blank, 1 - 1 / chars).otherwise(0),
+    )
+    rounded = F.floor(score * 1e6 + 0.5) / 1e6  # to six places, without the decimals of round()
+    return pairs.select("query_key", "name_key", rounded.alias("score"), "show_id", "n_shows")
 
 
 def search_candidates(
     queries: DataFrame, index: DataFrame, field: str = "query", similarity: float = SIMILARITY
 ) -> DataFrame:
-    """Candidates of each distinct query: ``query_key, name_key, score, show_id, n_shows``."""
+    """Candidates of each distinct query: ``query_key, name_key, score, show_id, n_shows``.
+
+    Pairs with enough words in common come from :func:`word_pairs` with their final score; only the others
+    that meet by a signature are grouped, so the many pairs of a small vocabulary are not shuffled again.
+    """
     keys = query_keys(queries, field)
-    asked = keys.withColumn("_signature", F.explode(_signatures("query_key", True)))
-    offered = index.withColumn("_signature", F.explode(_signatures("name_key", False)))
+    asked = keys.withColumn("_signature", F.explode(_signatures("query_key", True, similarity)))
+    offered = index.withColumn("_signature", F.explode(_signatures("name_key", False, similarity)))
     tag = F.substring("_signature", 1, 1)
     pairs = asked.join(offered, "_signature").filter(
         # A blotted name also meets itself; equal names have their own signature.
         (tag == "e") | (F.col("query_key") != F.col("name_key"))
     )
-    scored = pairs.select(
-        "query_key", "name_key", _score(tag, F.col("query_key"), F.col("name_key")).alias("score"), "show_id", "n_shows"
-    )
-    return (
-        scored.unionByName(word_pairs(keys, index, similarity))
+    q, n = F.split("query_key", " "), F.split("name_key", " ")
+    share = F.size(F.array_intersect(q, n)) / F.size(F.array_union(q, n))
+    near = (
+        pairs.filter((tag == "e") | (share < similarity - 1e-9))
         .groupBy("query_key", "name_key")
         .agg(
-            F.max("score").alias("score"),
+            F.max(_score(tag, F.col("query_key"), F.col("name_key"))).alias("score"),
             F.min("show_id").alias("show_id"),
             F.max("n_shows").alias("n_shows"),
         )
     )
+    return near.unionByName(word_pairs(keys, index, similarity))
 
 
 def number_candidates(candidates: DataFrame) -> DataFrame:
@@ -264,6 +312,7 @@ def resolve_best(
     field: str = "series_key",
     ask: Column | None = None,
     rank: Column | None = None,
+    similarity: float = SIMILARITY,
 ) -> DataFrame:
     """Non-interactive search: adds ``series_id``, 0 where nothing is found.
 
@@ -277,13 +326,15 @@ def resolve_best(
     )
     left_over = F.when(F.col("_exact").isNull(), F.col("_query"))
     rest = exact.select(left_over.alias("query"))
-    near = top_candidate(search_candidates(rest, index), rank).withColumnRenamed("show_id", "_near")
+    near = top_candidate(search_candidates(rest, index, similarity=similarity), rank).withColumnRenamed("show_id", "_near")
     return attach(exact, near, {"query_key": left_over}, ["_near"]).select(
         *names.columns, F.coalesce("_exact", "_near", F.lit(0)).alias("series_id")
     )
 
 
-def chosen_series(keys: DataFrame, index: DataFrame, choices: DataFrame) -> DataFrame:
+def chosen_series(
+    keys: DataFrame, index: DataFrame, choices: DataFrame, similarity: float = SIMILARITY
+) -> DataFrame:
     """``series_key, series_id``: the candidate each choice names by its option number, 0 where it is not offered.
 
     ``choices``: series_key, choice. Only series that have a choice are searched for.
@@ -291,7 +342,7 @@ def chosen_series(keys: DataFrame, index: DataFrame, choices: DataFrame) -> Data
     query = F.nullif(search_key(F.col("series_key")), F.lit(""))
     asked = keys.join(choices.groupBy("series_key").agg(F.max("choice").cast("bigint").alias("number")), "series_key")
     asked = asked.withColumn("query", query)
-    options = number_candidates(search_candidates(asked, index)).select("query_key", "number", "show_id")
+    options = number_candidates(search_candidates(asked, index, similarity=similarity)).select("query_key", "number", "show_id")
     picked = attach(asked, options, {"query_key": F.col("query"), "number": F.col("number")}, ["show_id"])
     return picked.select("series_key", F.coalesce("show_id", F.lit(0)).alias("series_id"))
 
@@ -302,6 +353,7 @@ def resolve_series(
     index: DataFrame,
     rank: Column | None = None,
     choices: DataFrame | None = None,
+    similarity: float = SIMILARITY,
 ) -> DataFrame:
     """The cascade over distinct series: known ID, else the choice made, else best search result, else 0.
 
@@ -312,13 +364,13 @@ def resolve_series(
     local = attach(keys, known, {"series_key": F.col("series_key")}, ["_known"])
     if choices is not None:
         open_keys = local.filter(F.col("_known").isNull()).select("series_key")
-        chosen = chosen_series(open_keys, index, choices).withColumnRenamed("series_id", "_chosen")
+        chosen = chosen_series(open_keys, index, choices, similarity).withColumnRenamed("series_id", "_chosen")
         local = attach(local, chosen, {"series_key": F.col("series_key")}, ["_chosen"])
     else:
         local = local.withColumn("_chosen", F.lit(None).cast("int"))
     unknown = F.col("_known").isNull() & F.col("_chosen").isNull()
     series_id = F.coalesce("_known", "_chosen", "series_id")
-    return resolve_best(local, index, ask=unknown, rank=rank).select(
+    return resolve_best(local, index, ask=unknown, rank=rank, similarity=similarity).select(
         "series_key",
         series_id.alias("series_id"),
         F.when(F.col("_known").isNotNull(), "known").when(series_id == 0, "none")

@@ -49,7 +49,8 @@ class Reference:
     """Reference tables of a run: alias and ID tables and the catalogue.
 
     ``index`` is the search index; built from the catalogue's shows unless given. ``rank`` is a
-    ranking of candidates other than the score, ``choices`` (series_key, choice) what users picked.
+    ranking of candidates other than the score, ``choices`` (series_key, choice) what users picked,
+    ``similarity`` the share of words from which a name is a candidate.
     """
 
     ids: DataFrame
@@ -58,13 +59,14 @@ class Reference:
     index: DataFrame | None = None
     rank: Column | None = None
     choices: DataFrame | None = None
+    similarity: float = resolve.SIMILARITY
 
     def search_index(self) -> DataFrame:
         return self.index if self.index is not None else resolve.name_index(self.catalog.shows())
 
     def resolve(self, keys: DataFrame) -> DataFrame:
         """The ID of every distinct series, each looked up or searched once."""
-        return resolve.resolve_series(keys, self.ids, self.search_index(), self.rank, self.choices)
+        return resolve.resolve_series(keys, self.ids, self.search_index(), self.rank, self.choices, self.similarity)
 
 
 def named(files: DataFrame, reference: Reference, options: Options, spec: MediaSpec) -> DataFrame:

@@ -13,11 +13,13 @@ def tune(spark: SparkSession) -> SparkSession:
 
     Joins here never carry a broadcast hint for data that can grow: Catalyst broadcasts by
     its own size check, and beyond that size AQE splits skewed keys of the shuffle join,
-    also where the split costs one more shuffle later on.
+    also where the split costs one more shuffle later on. Small partitions are left apart where there
+    are cores for them: a join may make many pairs of few rows.
     """
     spark.conf.set("spark.sql.adaptive.enabled", "true")
     spark.conf.set("spark.sql.adaptive.skewJoin.enabled", "true")
     spark.conf.set("spark.sql.adaptive.forceOptimizeSkewedJoin", "true")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.minPartitionSize", "4k")
     return spark
 
 

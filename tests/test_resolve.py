@@ -1,7 +1,9 @@
 """Aliases, IDs, search."""
 
 import itertools
+import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from reelspark.operators import resolve
@@ -67,18 +69,15 @@ def test_search_is_brute_force(spark):
 def test_several_words_apart(spark):
     names = [(1, "The Office Us Archive"), (2, "Agents Of S.H.I.E.L.D"), (3, "Lost"), (4, "The Lost Archive Of The Us")]
     asked = ["office archive", "archive us office the", "agents of shield", "lost of", "us lost archive"]
-    queries, index, _ = search(spark, asked, names)
-    found = resolve.search_candidates(queries, index, similarity=0.5)
+    _, _, found = search(spark, asked, names)
     got = {(r.query_key, r.name_key): (r.score, r.show_id, r.n_shows) for r in found.collect()}
-    assert got == brute_force(asked, names, 0.5)
+    assert got == brute_force(asked, names)
     assert ("office archive", "the office us archive") in got and ("archive us office the", "the office us archive") in got
     assert ("agents of shield", "agents of s h i e l d") in got
 
 
 def test_word_pairs_at_other_thresholds(spark):
     """Random names of a few words; every threshold agrees with comparing all pairs."""
-    import random
-
     random.seed(5)
     made = sorted({" ".join(random.choices("abcdefgh", k=random.randint(1, 6))) for _ in range(120)})
     asked = spark.createDataFrame([(n,) for n in made[::2]], "query_key string")
@@ -89,6 +88,34 @@ def test_word_pairs_at_other_thresholds(spark):
         assert sorted(got) == sorted((a, b) for a in made[::2] for b in made if a != b and share(a, b) >= threshold)
 
 
+@pytest.mark.parametrize("similarity", [0.4, 0.5, 0.75])
+def test_search_at_any_threshold_is_brute_force(spark, similarity):
+    """Short words, so that a letter, a blank or a repeated word also makes pairs, and names beyond the paired keys."""
+    rng = random.Random(9)
+    made = sorted({" ".join(rng.choices(["ab", "a", "b", "abc", "cd", "c d"], k=rng.randint(1, 5))) for _ in range(90)})
+    long = [" ".join(f"w{i}" for i in range(k, k + n)) for k, n in ((0, 11), (0, 12), (0, 13), (3, 14), (6, 12), (0, 26))]
+    names = list(enumerate([*made, *long], 1))
+    asked = [*made[::3], *long, "w5 w6 w7 w8 w9 w10 w11 w12 w13"]
+    queries = spark.createDataFrame([(a,) for a in asked], "query string")
+    index = resolve.name_index(spark.createDataFrame(names, "show_id int, name string"))
+    found = resolve.search_candidates(queries, index, similarity=similarity).collect()
+    got = {(r.query_key, r.name_key): (r.score, r.show_id, r.n_shows) for r in found}
+    assert len(got) == len(found)
+    assert got == brute_force(asked, names, similarity)
+
+
+def test_threshold_reaches_the_cascade(spark):
+    """What people type resolves by default; a stricter threshold leaves it unresolved."""
+    names = [(1, "The Office Us Archive"), (2, "Agents Of Something Else")]
+    index = resolve.name_index(spark.createDataFrame(names, "show_id int, name string"))
+    keys = spark.createDataFrame([("office archive",), ("the ofice us archve",)], "series_key string")
+    ids = spark.createDataFrame([], "series_key string, series_id int")
+    cascade = lambda **kw: {r.series_key: r.series_id for r in resolve.resolve_series(keys, ids, index, **kw).collect()}
+    assert cascade()["office archive"] == 1
+    assert cascade(similarity=0.75) == {"office archive": 0, "the ofice us archve": 0}
+    assert {r.series_id for r in resolve.resolve_best(keys, index, similarity=0.3).collect()} == {1}
+
+
 def test_ranking_policy(spark):
     _, _, found = search(spark, ["night harbor"])
     by_id = {r.query_key: r.show_id for r in resolve.top_candidate(found, -F.col("show_id")).collect()}
