@@ -10,6 +10,7 @@ limit become spans of the kind of their patterns.
 from __future__ import annotations
 
 from dataclasses import dataclass
+from uuid import uuid4
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,17 +56,63 @@ def _valid(kind: str, m: Column) -> Column:
     return F.lit(True)
 
 
+def _let(value: Column, body) -> Column:
+    """body(value), with the value worked out once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def _scan(values: Column, combine) -> Column:
+    """Running results of an associative operation over an array, by doubling: as many rounds as its length has bits."""
+
+    def step(held: Column, k: Column) -> Column:
+        back = F.call_function("shiftleft", F.lit(1), k)
+        return F.transform(held, lambda v, i: F.when(i >= back, combine(v, F.get(held, i - back))).otherwise(v))
+
+    rounds = lambda v: F.sequence(F.lit(0), F.length(F.bin(F.size(v).cast("bigint"))) - 1)
+    return _let(values, lambda v: F.aggregate(rounds(v), v, step))
+
+
 def _spans(text: Column, pattern: str, hint: str, kind: str) -> Column:
     """array<struct<kind, start, end, value>> of all matches, in order; positions in code points."""
-    gaps, found = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
-    ends = lambda parts, n: F.aggregate(F.slice(parts, F.lit(1), n), F.lit(0), lambda a, x: a + F.length(x))
+    parts = F.struct(
+        F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("found")
+    )
 
-    def span(m: Column, i: Column) -> Column:
-        start = ends(gaps, i + 1) + ends(found, i)
-        return F.struct(F.lit(kind).alias("kind"), start.alias("start"), (start + F.length(m)).alias("end"), m.alias("value"))
+    def read(p: Column) -> Column:
+        steps = F.transform(p["found"], lambda m, i: F.length(F.get(p["gaps"], i)) + F.length(m))
+        span = lambda m, end: F.struct(
+            F.lit(kind).alias("kind"), (end - F.length(m)).alias("start"), end.alias("end"), m.alias("value")
+        )
+        return _let(
+            _scan(steps, lambda a, b: a + b), lambda ends: F.transform(p["found"], lambda m, i: span(m, F.get(ends, i)))
+        )
 
     none = F.array().cast("array<struct<kind:string,start:int,end:int,value:string>>")
-    return F.when(text.rlike(hint), F.transform(found, span)).otherwise(none)
+    return F.when(text.rlike(hint), _let(parts, read)).otherwise(none)
+
+
+def _apart(spans: Column, others: Column) -> Column:
+    """The spans that touch none of the others, by start.
+
+    All are put in order; a span is apart if the greatest end of the others before it is not behind
+    its start, and the least start of those after it not before its end.
+    """
+    entry = lambda own: lambda s: F.struct(
+        s["start"].alias("start"), F.lit(own).alias("own"), s["end"].alias("end"), s["kind"].alias("kind"), s["value"].alias("value")
+    )
+    merged = F.array_sort(F.concat(F.transform(spans, entry(True)), F.transform(others, entry(False))))
+
+    def free(m: Column) -> Column:
+        ends = F.transform(m, lambda x: F.when(x["own"], -1).otherwise(x["end"]))
+        starts = F.reverse(F.transform(m, lambda x: F.when(x["own"], (1 << 31) - 1).otherwise(x["start"])))
+        bounds = F.struct(
+            _scan(ends, lambda a, b: F.greatest(a, b)).alias("before"),
+            F.reverse(_scan(starts, lambda a, b: F.least(a, b))).alias("after"),
+        )
+        kept = lambda b: lambda x, i: x["own"] & (F.get(b["before"], i) <= x["start"]) & (F.get(b["after"], i) >= x["end"])
+        return F.transform(_let(bounds, lambda b: F.filter(m, kept(b))), lambda x: F.struct(*(x[c].alias(c) for c in ("kind", "start", "end", "value"))))
+
+    return F.when(F.size(others) == 0, spans).otherwise(_let(merged, free))
 
 
 def base_spans(text: Column) -> Column:
@@ -98,16 +145,13 @@ def read_spans(docs: DataFrame) -> DataFrame:
     """doc_id, base (spans), open (candidate spans that touch no base span, and their patterns, and those of base spans)."""
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"))
-    rows = rows.select("doc_id", "text", base_spans(F.col("text")).alias("base"))
-    candidates = F.filter(
-        _spans(F.col("text"), CANDIDATE, "[0-9@]", ""),
-        lambda c: ~F.exists("base", lambda b: (b["start"] < c["end"]) & (c["start"] < b["end"])),
-    )
+    rows = rows.select("doc_id", "text", base_spans(F.col("text")).alias("found"))
+    rows = rows.withColumn("open", _let(_spans(F.col("text"), CANDIDATE, "[0-9@]", ""), lambda c: _apart(c, F.col("found"))))
     seen = F.transform(
-        F.concat("base", candidates),
+        F.concat("found", "open"),
         lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end"), s["value"].alias("value"), _contexts(F.col("text"), s).alias("patterns")),
     )
-    return rows.select("doc_id", F.transform("base", lambda s: s.dropFields("value")).alias("base"), seen.alias("seen"))
+    return rows.select("doc_id", F.transform("found", lambda s: s.dropFields("value")).alias("base"), seen.alias("seen"))
 
 
 def discovered(read: DataFrame, limits: Limits | None = None) -> DataFrame:
@@ -183,14 +227,16 @@ def _masked(text: Column, spans: Column) -> Column:
     """The text with each span, or run of overlapping spans, replaced by the name of its first kind."""
     ordered = F.array_sort(F.transform(spans, lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end"), s["kind"].alias("kind"))))
 
-    def step(state: Column, s: Column) -> Column:
-        fresh = s["start"] >= state["at"]
-        between = F.substring(text, state["at"] + 1, s["start"] - state["at"])
-        out = F.when(fresh, F.concat(state["out"], between, F.lit("["), F.upper(s["kind"]), F.lit("]"))).otherwise(state["out"])
-        return F.struct(out.alias("out"), F.greatest(state["at"], s["end"]).alias("at"))
+    def cut(o: Column, reach: Column) -> Column:
+        piece = lambda s, at: F.when(
+            s["start"] >= at, F.concat(F.substring(text, at + 1, s["start"] - at), F.lit("["), F.upper(s["kind"]), F.lit("]"))
+        ).otherwise("")
+        pieces = F.transform(o, lambda s, i: piece(s, F.coalesce(F.get(reach, i - 1), F.lit(0))))
+        rest = F.substring(text, F.element_at(reach, -1) + 1, F.length(text))
+        return F.concat(F.array_join(pieces, ""), rest)
 
-    last = lambda state: F.concat(state["out"], F.substring(text, state["at"] + 1, F.length(text)))
-    return F.aggregate(ordered, F.struct(F.lit("").alias("out"), F.lit(0).alias("at")), step, last)
+    ends = lambda o: _scan(F.transform(o, lambda s: s["end"]), lambda a, b: F.greatest(a, b))
+    return _let(ordered, lambda o: _let(ends(o), lambda reach: cut(o, reach)))
 
 
 def mask_docs(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
@@ -198,16 +244,16 @@ def mask_docs(docs: DataFrame, limits: Limits | None = None) -> DataFrame:
 
     Texts without spans, nulls included, stay as they are.
     """
-    read = all_spans(docs, limits)
+    read, name = all_spans(docs, limits), f"_{uuid4().hex}"  # no column of docs is called so
     spans = written(
         read.where("doc_id is not null and size(base) + size(added) > 0")
         .groupBy("doc_id")
-        .agg(F.first(F.concat("base", "added")).alias("__spans")),
+        .agg(F.first(F.concat("base", "added")).alias(name)),
         "mask",
-    ).withColumnRenamed("doc_id", "__doc_id")
-    text = F.when(F.col("__spans").isNotNull(), _masked(F.col("text"), F.col("__spans"))).otherwise(F.col("text"))
-    out = docs.join(spans, docs["doc_id"].cast("long") == spans["__doc_id"], "left").withColumn("text", text)
+    ).withColumnRenamed("doc_id", f"{name}id")
+    text = F.when(F.col(name).isNotNull(), _masked(F.col("text"), F.col(name))).otherwise(F.col("text"))
+    out = docs.join(spans, docs["doc_id"].cast("long") == spans[f"{name}id"], "left").withColumn("text", text)
     if "n_chars" in docs.columns:
-        changed = F.when(F.col("__spans").isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType))
+        changed = F.when(F.col(name).isNotNull(), F.length("text").cast(docs.schema["n_chars"].dataType))
         out = out.withColumn("n_chars", F.coalesce(changed, F.col("n_chars")))
     return out.select(*docs.columns)
