@@ -118,11 +118,13 @@ from show_payloads""",
     "season_payloads": """
 select show_id series_id, concat('[', one, ',', two, case when p_size > 40 then concat(',', twin) else '' end, ',', three, ']') payload
 from (select show_id, p_size,
-  concat('{"id":', cast(show_id * 10 + 1 as varchar(12)), ',"number":', cast(show_id % 12 + 1 as varchar(3)), ',"name":"","episodeOrder":3,"premiereDate":"2001-01-01"}') one,
+  concat('{"id":', cast(show_id * 10 + 1 as varchar(12)), ',"number":', cast(show_id % 12 + 1 as varchar(3)), ',"name":"","episodeOrder":3,"premiereDate":"2001-01-01","url":"https://catalogue.example/seasons/', cast(show_id * 10 + 1 as varchar(12)),
+    '","network":{"id":1,"name":"', channel, '","country":null},"image":{"medium":"m', cast(show_id as varchar(12)), '","original":null},"summary":"<p>First of ', name, '</p>"}') one,
   concat('{"id":', cast(show_id * 10 + 2 as varchar(12)), ',"number":', cast(show_id % 12 + 2 as varchar(3)), ',"name":"Two","episodeOrder":null,"premiereDate":null}') two,
   concat('{"id":', cast(show_id * 10 + 4 as varchar(12)), ',"number":', cast(show_id % 12 + 2 as varchar(3)), ',"name":"Twin","episodeOrder":1}') twin,
-  concat('{"id":', cast(show_id * 10 + 3 as varchar(12)), ',"number":', cast(show_id % 12 + 3 as varchar(3)), ',"name":"Three","episodeOrder":2,"endDate":"2003-01-01"}') three
-  from shows) s""",
+  concat('{"id":', cast(show_id * 10 + 3 as varchar(12)), ',"number":', cast(show_id % 12 + 3 as varchar(3)), ',"name":"Three","episodeOrder":2,"endDate":"2003-01-01","network":null,"webChannel":{"id":3,"name":"', channel,
+    ' Web","country":{"name":"', country, '"}}}') three
+  from shows join channels on show_id = channel_of) s""",
     "episode_payloads": """
 select show_id series_id, concat('{"id":', cast(episode_id as varchar(12)), ',"url":"https://catalogue.example/episodes/',
   cast(episode_id as varchar(12)), '","name":"', title, '","season":', cast(season as varchar(3)), ',"number":', cast(episode as varchar(3)),

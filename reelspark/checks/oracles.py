@@ -210,7 +210,9 @@ select show_id, {j('url')} url, {j('name')} name, {j('premiered')} premiered, {j
     "o_seasons": f"""
 select series_id, cast(ord - 1 as int) ord, cast({j('id', 'item')} as int) season_id, cast({j('number', 'item')} as int) season,
   {j('name', 'item')} name, cast({j('episodeOrder', 'item')} as int) episode_order,
-  {j('premiereDate', 'item')} premiere_date, {j('endDate', 'item')} end_date
+  {j('premiereDate', 'item')} premiere_date, {j('endDate', 'item')} end_date, {j('url', 'item')} url,
+  {j('network.name', 'item')} network, {j('webChannel.country.name', 'item')} web_country, {j('image.medium', 'item')} image,
+  {j('summary', 'item')} summary
 from (select series_id, unnest(items) item, unnest(range(1, len(items) + 1)) ord
   from (select series_id, json_extract(payload, '$[*]') items from season_payloads))""",
     "o_season_ids": """

@@ -147,7 +147,12 @@ def scan_catalog_shows(i: Inputs) -> DataFrame:
 
 @register
 def scan_catalog_seasons(i: Inputs) -> DataFrame:
-    return i.payload_catalog().seasons()
+    return i.payload_catalog().seasons().withColumns(
+        {
+            "network": F.col("network.name"), "web_country": F.col("web_channel.country.name"),
+            "image": F.col("image.medium"),
+        }
+    ).drop("web_channel")
 
 
 @register
@@ -428,11 +433,9 @@ def overlay_aliases(i: Inputs) -> DataFrame:
 
 @register
 def outcome_counts(i: Inputs) -> DataFrame:
-    stages = {
-        "infer": "infer_status", "alias": "alias_status", "fetch": "fetch_status",
-        "rename": "rename_action", "organize": "organize_action", "plan": "status",
-    }
-    return planning.outcome_counts(i.processed(), stages)
+    plan, counts = planning.observed(i.processed())
+    tables.write_plan(plan, scratch_path(i.spark, "plan"))
+    return planning.observed_counts(i.spark, counts)
 
 
 # Numbering and order --------------------------------------------------------------------

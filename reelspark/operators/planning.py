@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from reelspark.functions import paths
@@ -113,3 +113,36 @@ def outcome_counts(rows: DataFrame, stages: dict[str, str]) -> DataFrame:
         .groupBy("stage", "status")
         .agg(F.count("*").alias("n"))
     )
+
+
+# What a run can say of a file, by stage.
+OUTCOMES = {
+    "infer": ("infer_status", ("MATCHED", "NO_MATCH", "NO_PATTERNS")),
+    "alias": ("alias_status", ("TRANSFORM", "NO_TRANSFORM_OPTION", "NO_TRANSFORM_SECTION")),
+    "fetch": ("fetch_status", ("fetched", "episode_not_found", "no_series_id", "no_season", "no_episode")),
+    "rename": ("rename_action", ("missing", "already_named", "conflict", "rename", "simulated")),
+    "organize": (
+        "organize_action", ("empty_path", "missing", "not_a_file", "in_place", "conflict", "move", "simulated"),
+    ),
+    "plan": (
+        "status",
+        ("planned", "conflict", "not_a_file", "empty_path", "missing", "NO_MATCH", "NO_PATTERNS", "no_series_id",
+         "no_season", "no_episode", "invalid_name"),
+    ),
+}
+
+
+def observed(plan: DataFrame) -> tuple[DataFrame, Observation]:
+    """The plan, and an observation that counts its outcomes while whatever action comes first runs over it."""
+    observation, counts = Observation(), []
+    for stage, (column, statuses) in OUTCOMES.items():
+        value = F.col(column)
+        counts += [F.count(F.when(value == s, 1)).alias(f"{stage}|{s}") for s in statuses]
+        counts.append(F.count(F.when(~value.isin(*statuses), 1)).alias(f"{stage}|other"))
+    return plan.observe(observation, *counts), observation
+
+
+def observed_counts(spark: SparkSession, observation: Observation) -> DataFrame:
+    """``stage, status, n`` of an observation whose action has run; one row per outcome that occurred."""
+    rows = [(*name.split("|"), n) for name, n in observation.get.items() if n]
+    return spark.createDataFrame(rows, "stage string, status string, n bigint")

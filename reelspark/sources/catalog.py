@@ -89,6 +89,8 @@ def season_columns(items: DataFrame) -> DataFrame:
         item["id"].alias("season_id"), item["number"].alias("season"),
         item["name"].alias("name"), item["episodeOrder"].alias("episode_order"),
         item["premiereDate"].alias("premiere_date"), item["endDate"].alias("end_date"),
+        item["url"].alias("url"), item["network"].alias("network"), item["webChannel"].alias("web_channel"),
+        item["image"].alias("image"), item["summary"].alias("summary"),
     )
 
 

@@ -2,31 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelspark.functions.text import name_key
+from reelspark.operators.ordinals import with_row
 from reelspark.sources import schemas
 
 
 def read_manifest(spark: SparkSession, path: str, form: str = "parquet") -> DataFrame:
     """A table of files: path, its place in the input order, and what the path points to.
 
-    ``form``: parquet, csv (with a header), json, or text (one path per line). Text has no
-    order column; paths then order themselves.
+    ``form``: parquet, csv (with a header), json, or text (one path per line). Lines of text are
+    numbered in the order of the files' names and of the lines in them.
     """
     if form == "text":
-        return spark.read.text(path).select(
-            F.col("value").alias("path"),
-            F.lit(0).cast("bigint").alias("input_ord"),
-            F.lit("file").alias("path_type"),
-        )
+        return _numbered_lines(spark, path).withColumn("path_type", F.lit("file"))
     reader = spark.read.schema(schemas.MANIFEST)
     if form == "csv":
         reader = reader.option("header", True)
     return reader.format(form).load(path)
 
 
+def _numbered_lines(spark: SparkSession, path: str) -> DataFrame:
+    """``path, input_ord``: the lines of text files, numbered from 1 over all files.
+
+    Each task reads whole stretches of files in order, so a line's number is its place in its stretch
+    and the lines before that stretch: one row per stretch is counted, none of the lines is sorted. The
+    lines are written once with their places, which are then the same for both.
+    """
+    lines = with_row(
+        spark.read.text(path).select(
+            F.col("value").alias("path"), F.col("_metadata.file_path").alias("_file"),
+            F.col("_metadata.file_block_start").alias("_start"),
+        ),
+        "_row",
+    )
+    stretches = lines.groupBy("_file", "_start").agg(F.min("_row").alias("_first"), F.count("*").alias("_n"))
+    before = Window.orderBy("_file", "_start").rowsBetween(Window.unboundedPreceding, -1)  # a row per stretch
+    placed = stretches.select("_file", "_start", "_first", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    number = F.col("_before") + F.col("_row") - F.col("_first") + 1
+    return lines.join(placed, ["_file", "_start"]).select("path", number.cast("bigint").alias("input_ord"))
+
+
 def list_files(spark: SparkSession, root: str, pattern: str = "*") -> DataFrame:
     """A manifest of the files under a folder. Only names are read: the content column is pruned."""
     found = (

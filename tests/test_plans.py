@@ -133,6 +133,19 @@ def test_outcome_counts(manifest, reference, listing):
     assert {r.status: r.n for r in rows}["conflict"] >= 2
 
 
+def test_outcomes_are_counted_while_the_plan_is_written(spark, manifest, reference, listing, tmp_path):
+    plan = pipeline.process(manifest, reference, Options(), listing)
+    columns = {stage: column for stage, (column, _) in planning.OUTCOMES.items()}
+    expected = sorted(tuple(r) for r in planning.outcome_counts(plan, columns).collect())
+    rows, counts = planning.observed(plan)
+    tables.write_plan(rows, str(tmp_path / "plan"))
+    assert sorted(tuple(r) for r in planning.observed_counts(spark, counts).collect()) == expected
+    odd, counts = planning.observed(plan.withColumn("status", F.lit("unheard of")))
+    odd.collect()
+    found = {(r.stage, r.status): r.n for r in planning.observed_counts(spark, counts).collect()}
+    assert found["plan", "other"] == len(FILES)
+
+
 def test_season_ids(spark, reference):
     rows = spark.createDataFrame([(1, 3), (1, 4), (9, 1), (None, 3)], "series_id int, season int")
     got = {(r.series_id, r.season): r.season_id for r in enrich.season_id(rows, reference.catalog.seasons()).collect()}
@@ -254,6 +267,23 @@ def test_manifests(spark, manifest, tmp_path):
     assert got.columns == usable.columns and got.count() == usable.count()
 
 
+def test_text_manifests_keep_their_order(spark, tmp_path):
+    """Lines over several files and splits are numbered as they stand."""
+    lines = [f"/in/{(i * 7919) % 4001:04d}/name {i}.mkv" for i in range(4000)]
+    for n in range(4):
+        (tmp_path / f"part{n}.txt").write_text("".join(f"{x}\n" for x in lines[n * 1000 : (n + 1) * 1000]))
+    settings = {"spark.sql.files.maxPartitionBytes": "9k", "spark.sql.files.openCostInBytes": "1k"}
+    before = {k: spark.conf.get(k) for k in settings}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        found = tables.read_manifest(spark, str(tmp_path), "text").collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert sorted((r.input_ord, r.path) for r in found) == list(enumerate(lines, 1))
+
+
 def test_list_files(spark, tmp_path):
     for name in ("a/Night Harbor 0304 - x.mkv", "b.mkv", "c.txt"):
         (tmp_path / name).parent.mkdir(exist_ok=True)
