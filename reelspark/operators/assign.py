@@ -12,9 +12,9 @@ from reelspark.operators.resolve import attach
 
 
 def natural_key(name: Column) -> list[Column]:
-    """Files in numeric order of the number they begin with, then by name."""
-    digits = F.regexp_extract(name, "^[0-9]+", 0)
-    return [F.coalesce(digits.try_cast("decimal(38,0)"), F.lit(0).cast("decimal(38,0)")), name]
+    """Files in numeric order of the number they begin with, however long, then by name."""
+    digits = F.regexp_replace(F.regexp_extract(name, "^[0-9]+", 0), "^0+", "")
+    return [F.length(digits), digits, name]
 
 
 def order_key() -> list[Column]:

@@ -250,6 +250,10 @@ def test_natural_order(spark):
     rows = spark.createDataFrame([("10.mkv",), ("9.mkv",), ("1 b.mkv",), ("1 a.mkv",), ("z.mkv",)], "n string")
     got = [r.n for r in rows.orderBy(*assign.natural_key(F.col("n"))).collect()]
     assert got == ["z.mkv", "1 a.mkv", "1 b.mkv", "9.mkv", "10.mkv"]
+    long = [f"{'9' * 40} a.mkv", f"1{'0' * 40}.mkv", f"{'0' * 50}7.mkv", "8.mkv", f"{'9' * 40} b.mkv"]
+    rows = spark.createDataFrame([(n,) for n in long], "n string")
+    got = [r.n for r in rows.orderBy(*assign.natural_key(F.col("n"))).collect()]
+    assert got == [long[2], long[3], long[0], long[4], long[1]]
 
 
 # Sources, sinks and streams -------------------------------------------------------------
