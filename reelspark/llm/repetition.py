@@ -26,13 +26,14 @@ class Limits:
 
     top: the most frequent n-gram of that length. repeated: all n-grams that occur a second time.
     Only later copies count, so what the base rule lets pass has a share of 0.25 at most in two copies and
-    of 0.4 in five. The limits on repeated n-grams are the usual ones and 0.05 more, as a line quoted twice is
-    up to that much more of a text of 50 to 100 words.
+    of 0.4 in five. The limits on repeated n-grams are the usual ones. A passage quoted twice is a great part of a
+    short text, so `quote` words more are allowed, as a share of the text's words and at most 0.05.
     """
 
     lines: float = 0.2
     top: dict[int, float] = field(default_factory=lambda: {2: 0.20, 3: 0.18, 4: 0.16})
-    repeated: dict[int, float] = field(default_factory=lambda: {5: 0.20, 6: 0.19, 7: 0.18, 8: 0.17, 9: 0.16, 10: 0.15})
+    repeated: dict[int, float] = field(default_factory=lambda: {5: 0.15, 6: 0.14, 7: 0.13, 8: 0.12, 9: 0.11, 10: 0.10})
+    quote: int = 5
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -89,6 +90,7 @@ def measure(text: str | None, limits: Limits) -> tuple:
     if not failed:
         size = np.fromiter(map(len, tokens), np.int64, n)
         total = int(size.sum())
+        allowed = min(0.05, limits.quote / n)
         ends = np.concatenate(([0], np.cumsum(size)))
         worst = float(dup_chars / total / limits.lines)
         word = _mix((ids + 1).astype(np.uint64) * _ODD)
@@ -107,7 +109,7 @@ def measure(text: str | None, limits: Limits) -> tuple:
                 worst = max(worst, float(most) / total / limits.top[k])
             if k in limits.repeated:
                 share = float(size[_covered(np.nonzero(later)[0], k, n)].sum()) / total
-                worst = max(worst, share / limits.repeated[k])
+                worst = max(worst, share / (limits.repeated[k] + allowed))
     return n, word_chars, symbols, dup_lines, repeat_words, failed, not failed and worst <= 1.0, float(worst)
 
 
