@@ -14,7 +14,7 @@ from reelspark.llm.calibration import calibrated, isotonic
 from reelspark.llm.language import grams, language
 from reelspark.llm.packing import cuts, pack, plan, token_ids
 from reelspark.llm.quality import STATISTICS, quality, statistics
-from reelspark.llm.toxicity import Matcher, toxicity
+from reelspark.llm.toxicity import Matcher, lexicon, toxicity
 from reelspark.llm.warc import END, export_warc, page_records, read_archive, write_archive
 
 SF = "/root/testdata/sf0.01"
@@ -113,11 +113,11 @@ def edits(a: str, b: str) -> int:
 
 def test_automaton_agrees_with_the_edit_table():
     rng = random.Random(2)
-    lexicon = ["".join(rng.choices("abcd", k=rng.randint(5, 8))) for _ in range(30)]
+    lexicon = ["".join(rng.choices("abcd", k=rng.randint(5, 11))) for _ in range(30)]
     matcher = Matcher(lexicon)
     for _ in range(3000):
         token = list(rng.choice(lexicon))
-        for _ in range(rng.randint(0, 2)):
+        for _ in range(rng.randint(0, 3)):
             i = rng.randrange(len(token))
             change = rng.choice(["drop", "swap", "put", "add"])
             if change == "drop" and len(token) > 1:
@@ -129,15 +129,50 @@ def test_automaton_agrees_with_the_edit_table():
             else:
                 token.insert(i, rng.choice("abcd"))
         word = "".join(token)
-        near = min(edits(word, w) for w in lexicon) <= 1
-        assert matcher.near(word) == near
-        assert (matcher.weight(word) > 0) == near
+        found = [d for w in lexicon if (d := edits(word, w)) <= (2 if len(w) >= 8 else 1)]
+        assert matcher.near(word) == (max(1, min(found)) if found else 0)
+        assert matcher.weight(word) == ((1.0, 0.6, 0.4)[min(found)] if found else 0.0)
 
 
 def test_quotation_counts_less():
     matcher = Matcher(["nasty", "vile*"])
     assert matcher.hits('He said "nasty" there') < matcher.hits("a nasty thing") == matcher.hits("a vileword here") == 1.0
     assert 0 < matcher.hits("a nasti thing") < 1 and matcher.hits(None) == 0
+    long = 'she said "you are a complete and utter %s my friend, and I told them so more than once" and left'
+    for opening, closing in ('""', "“”", "„“", "«»", "»«"):
+        assert matcher.hits(long.replace('"', opening, 1).replace('"', closing, 1) % "nasty") == 0.3
+    straight = ['a 5" pipe, you nasty thing, and a 6" pipe', 'so "nice"\nyou nasty "thing"', '"a" nasty "b"', f'"{"far " * 90}nasty"', 'nasty "x"']
+    assert [matcher.hits(t) for t in straight] == [1.0] * len(straight)
+    assert matcher.hits('"nasty" nasty "so nasty" ' * 3) == pytest.approx(3 * 1.6)
+
+
+def test_scores_match_plain_edit_distance(spark):
+    """Every token against every term, and a curve on the sums, give the operator's scores."""
+    docs, marks = [], []
+    for i in range(300):
+        word = ["worthless", "pathetic", "idiot"][i % 3] if i < 90 else prose(i, 1)
+        docs.append((i, f"{prose(i, 15)} {word} {prose(i + 1000, 15)}"))
+        marks.append((i, int(i < 90)))
+    spoiled = ["wortless", "wrothles", "patetik", "pathetic", "idoit", "ideot", "idt", "worth", '"idiot"']
+    docs += [(1000 + i, f"{prose(i + 5000, 9)} {w} {prose(i + 6000, 9)}") for i, w in enumerate(spoiled)]
+    df = spark.createDataFrame(docs, "doc_id long, text string")
+    known, own = lexicon(df.join(spark.createDataFrame(marks, "doc_id long, y int"), "doc_id").where("crc32(cast(doc_id as string)) % 4 <> 2").select("text", "y"))
+    words, stems = [t for t in known if t[-1] != "*"], tuple(t[:-1] for t in known if t[-1] == "*")
+
+    def weight(token):
+        if token in words or token.startswith(stems or ("\n",)):
+            return 1.0
+        found = [] if token in own or len(token) < 4 else [d for w in words if len(w) > 4 and (d := edits(token, w)) <= (2 if len(w) > 7 else 1)]
+        return (0, 0.6, 0.4)[min(found)] if found else 0.0
+
+    got = {r.doc_id: r for r in toxicity(df, spark.createDataFrame(marks, "doc_id long, toxic int")).collect()}
+    sums = {d: sum(weight(w.strip('"')) * (0.3 if '"' in w else 1) for w in t.split()) for d, t in docs}
+    by_sum = sorted((round(sums[d], 6), got[d].score) for d, _ in docs)
+    assert {"worthless", "pathetic", "idiot"} <= set(words)
+    assert len({s for s, _ in by_sum}) >= 4
+    for (s, score), (t, other) in zip(by_sum, by_sum[1:]):
+        assert score == pytest.approx(other) if s == t else score < other  # one rising curve over the sums
+    assert [got[1000 + i].predicted for i in range(7)] == [1, 1, 1, 1, 1, 1, 0]
 
 
 def test_learned_terms_are_met_misspelled(spark):
