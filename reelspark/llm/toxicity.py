@@ -118,8 +118,11 @@ class Node:
 
 
 class Matcher:
-    """Looks tokens up in the lexicon: exactly, by stem, or within an edit (two for terms from TWO_EDITS_FROM
-    letters) unless they are words of their own."""
+    """Looks tokens up in the lexicon: exactly, by stem, or within an edit unless they are words of their own.
+
+    Terms from TWO_EDITS_FROM letters may take two edits, but for those with a word of its own as near as that:
+    there two edits lead to other words as easily.
+    """
 
     def __init__(self, lexicon: list[str], own: set[str] | None = None, remember: int = 200_000):
         self.words = {t for t in lexicon if not t.endswith(STEM)}
@@ -129,6 +132,9 @@ class Matcher:
         for word in self.words:
             if len(word) >= FUZZY_FROM:
                 self._add(word)
+        crowded = [node for word in self.own for node in self._within(word, 2)]
+        for node in crowded:
+            node.edits = 1
 
     def _add(self, word: str) -> None:
         node, allowed = self.root, 2 if len(word) >= TWO_EDITS_FROM else 1
@@ -148,11 +154,12 @@ class Matcher:
         looked at, and none whose words are too long or too short for what is left of the token.
         """
         for budget in range(1, self.root.most + 1):
-            if self._within(token, budget):
+            if next(self._within(token, budget), None):
                 return budget
         return 0
 
-    def _within(self, token: str, budget: int) -> bool:
+    def _within(self, token: str, budget: int) -> Iterator[Node]:
+        """Where the words end that are so near."""
         n, stack = len(token), [(self.root, 0, 0)]
         while stack:
             node, i, made = stack.pop()
@@ -161,7 +168,7 @@ class Matcher:
                 if left < 0 or rest < node.shortest - left or rest > node.longest + left:
                     break
                 if node.edits and made + rest <= min(budget, node.edits):
-                    return True
+                    yield node
                 letter = token[i] if rest else ""
                 if left:
                     if rest:
@@ -174,7 +181,6 @@ class Matcher:
                     if swapped is not None and letter in swapped.next:
                         stack.append((swapped.next[letter], i + 2, made + 1))
                 node, i = node.next.get(letter), i + 1
-        return False
 
     def weight(self, token: str) -> float:
         known = self.seen.get(token)
