@@ -28,9 +28,9 @@ STEMS = (4, 5, 6)
 STEM = "*"
 #: G statistic a term needs, and how many times more often it has to stand in toxic documents.
 EVIDENCE, RATIO = 30.0, 10.0
-FUZZY_FROM, TWO_EDITS_FROM = 5, 8  # letters; shorter terms are only met exactly
-#: Weight of a hit by the edits it takes, and of one inside a quotation.
-WEIGHTS, QUOTED_WEIGHT = (1.0, 0.6, 0.4), 0.3
+FUZZY_FROM = 5  # letters; shorter terms are only met exactly
+#: Weight of a hit without and with an edit, and of one inside a quotation.
+WEIGHTS, QUOTED_WEIGHT = (1.0, 0.6), 0.3
 WORD = re.compile(r"[^\W\d_]+")
 #: The context of a hit: the pair of marks around it, on one line and at most so many characters apart.
 SENTENCE = 300
@@ -108,88 +108,80 @@ def _fuzzy(lexicon: list[str]):
 
 @dataclass
 class Node:
-    """A place in the trie, with the lengths of the words below it and the most edits one of them may take."""
-
     next: dict[str, Node] = field(default_factory=dict)
-    edits: int = 0  # that the word ending here may take; none ends here if 0
-    shortest: int = 1 << 30
-    longest: int = 0
-    most: int = 0
+    word: bool = False
+    stem: bool = False
 
 
 class Matcher:
-    """Looks tokens up in the lexicon: exactly, by stem, or within an edit unless they are words of their own.
-
-    Terms from TWO_EDITS_FROM letters may take two edits, but for those with a word of its own as near as that:
-    there two edits lead to other words as easily.
-    """
+    """Looks tokens up in the lexicon: exactly, by stem, or within an edit unless they are words of their own."""
 
     def __init__(self, lexicon: list[str], own: set[str] | None = None, remember: int = 200_000):
         self.words = {t for t in lexicon if not t.endswith(STEM)}
         self.stems = {t.removesuffix(STEM) for t in lexicon if t.endswith(STEM)}
         self.own = own or set()
         self.root, self.seen, self.remember = Node(), {}, remember
+        self.heads: set[tuple[int, str]] = set()
+        self.tails: set[tuple[int, str]] = set()
         for word in self.words:
-            if len(word) >= FUZZY_FROM:
-                self._add(word)
-        crowded = [node for word in self.own for node in self._within(word, 2)]
-        for node in crowded:
-            node.edits = 1
-
-    def _add(self, word: str) -> None:
-        node, allowed = self.root, 2 if len(word) >= TWO_EDITS_FROM else 1
-        for depth in range(len(word) + 1):
-            left = len(word) - depth
-            node.shortest, node.longest = min(node.shortest, left), max(node.longest, left)
-            node.most = max(node.most, allowed)
-            if left:
-                node = node.next.setdefault(word[depth], Node())
-        node.edits = allowed
-
-    def near(self, token: str) -> int:
-        """The fewest edits, of those its length allows, to a word of the trie, one at least; 0 if there is none.
-
-        The automaton's states are places in the token with the edits made (swapped neighbours count as one).
-        Between edits it walks down the trie along the token, so only the branches an edit off that path are
-        looked at, and none whose words are too long or too short for what is left of the token.
+            if len(word) < FUZZY_FROM:
+                continue
+            node = self.root
+            for letter in word:
+                node = node.next.setdefault(letter, Node())
+            node.word = True
+            half = len(word) // 2
+            self.heads.add((len(word), word[:half]))
+            self.tails.add((len(word), word[half:]))
+
+    def near(self, token: str, edits: int = 1) -> bool:
+        """Is a word of the trie within so many edits (swapped neighbours count as one)?
+
+        The automaton's states are places in the token with the edits left. Between edits it walks down the trie
+        along the token, so only the branches one edit off that path are looked at.
         """
-        for budget in range(1, self.root.most + 1):
-            if next(self._within(token, budget), None):
-                return budget
-        return 0
-
-    def _within(self, token: str, budget: int) -> Iterator[Node]:
-        """Where the words end that are so near."""
-        n, stack = len(token), [(self.root, 0, 0)]
+        n, stack = len(token), [(self.root, 0, edits)]
         while stack:
-            node, i, made = stack.pop()
+            node, i, left = stack.pop()
             while node is not None:
-                rest, left = n - i, min(budget, node.most) - made
-                if left < 0 or rest < node.shortest - left or rest > node.longest + left:
-                    break
-                if node.edits and made + rest <= min(budget, node.edits):
-                    yield node
-                letter = token[i] if rest else ""
+                if node.word and n - i <= left:
+                    return True
+                letter = token[i] if i < n else ""
                 if left:
-                    if rest:
-                        stack.append((node, i + 1, made + 1))  # a letter too many
+                    if i < n:
+                        stack.append((node, i + 1, left - 1))  # a letter too many
                     for following, child in node.next.items():
-                        stack.append((child, i, made + 1))  # a letter lost
-                        if rest and following != letter:
-                            stack.append((child, i + 1, made + 1))  # another letter
-                    swapped = node.next.get(token[i + 1]) if rest > 1 else None
+                        stack.append((child, i, left - 1))  # a letter lost
+                        if i < n and following != letter:
+                            stack.append((child, i + 1, left - 1))  # another letter
+                    swapped = node.next.get(token[i + 1]) if i + 1 < n else None
                     if swapped is not None and letter in swapped.next:
-                        stack.append((swapped.next[letter], i + 2, made + 1))
+                        stack.append((swapped.next[letter], i + 2, left - 1))
                 node, i = node.next.get(letter), i + 1
+        return False
+
+    def _may_be_near(self, token: str) -> bool:
+        """One edit leaves the first or the second half of a term whole, but for swaps across the middle."""
+        n = len(token)
+        for length in (n - 1, n, n + 1):
+            half = length // 2
+            if (length, token[:half]) in self.heads or (length, token[n - (length - half) :]) in self.tails:
+                return True
+            if length == n and 0 < half < n:
+                swapped = token[: half - 1] + token[half] + token[half - 1] + token[half + 1 :]
+                if swapped in self.words:
+                    return True
+        return False
 
     def weight(self, token: str) -> float:
         known = self.seen.get(token)
         if known is None:
             if token in self.words or any(token[:n] in self.stems for n in STEMS if n <= len(token)):
                 known = WEIGHTS[0]
+            elif len(token) >= FUZZY_FROM - 1 and token not in self.own and self._may_be_near(token) and self.near(token):
+                known = WEIGHTS[1]
             else:
-                edits = self.near(token) if len(token) >= FUZZY_FROM - 1 and token not in self.own else 0
-                known = WEIGHTS[edits] if edits else 0.0
+                known = 0.0
             if len(self.seen) >= self.remember:
                 self.seen.clear()
             self.seen[token] = known
