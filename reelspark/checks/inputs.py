@@ -78,6 +78,16 @@ from (select l_suppkey, l_partkey, l_shipdate, o_orderstatus, e.show_id, season,
     # One path on disk per present file: its own, or a canonically named one beside it.
     "listing": """
 select coalesce(sibling, path) path from files where path_type <> 'absent'""",
+    # Each path is announced twice, six hours apart, at the time of an event. Announcements land in slices of ten
+    # days, but those of every second error not before the third slice: too late unless within the delay.
+    "announcements": """
+select path, seen, slice from (
+  select path, began seen, slice from placed union all select path, began + interval '6' hour seen, slice from placed) x""",
+    "placed": """
+select path, cast(ts as timestamp) began, case when event_type = 'error' and event_id % 2 = 0 or extract(day from ts) > 20 then 2
+  when extract(day from ts) > 10 then 1 else 0 end slice
+from (select path, min(input_ord) % (select count(*) from events) event_of from files group by path) f
+join events on event_id = event_of""",
     # Alias pairs in two layers; the second overrides the first where both have a variant.
     "alias_layers": """
 select 1 layer, show_id line, concat(upper(name), ' US ') variant, concat(name, ' Archive') preferred

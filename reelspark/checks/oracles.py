@@ -404,7 +404,12 @@ def _queries() -> dict[str, str]:
         ', Network: ', {LABEL_NETWORK}, ', Country: ', {LABEL_COUNTRY}, ', ID: ', coalesce(show_id, 0), ')') label from o_hits"""
     q["series_text"] = f'select show_id series_id, {SERIES_TEXT} "text" from o_shows'
     q["episode_text"] = f'select series_id, season, episode, {EPISODE_TEXT} "text" from o_episodes'
-    q["stream_dedup"] = "select distinct path from files"
+    q["stream_dedup"] = """
+        select * from (with tops as (select slice, max(seen) top from announcements group by 1),
+        marks as (select s.slice, max(e.top) - interval 7 day mark from tops s join tops e on e.slice < s.slice group by 1),
+        judged as (select path, coalesce(seen <= mark, false) late from announcements left join marks using (slice))
+        select path, late, cast(1 as bigint) announced from judged where not late group by all
+        union all select path, late, count(*) from judged where late group by 1, 2) x"""
     q["infer_report"] = "select path, series, series_id, season, episode, title, display_name, infer_status, fetch_status from o_errors"
     q["fetch_report"] = f"""
         select request_id, granularity, cast(1 as bigint) part, txt "text", case when txt is null then 'episode_not_found' else 'ok' end status

@@ -559,16 +559,6 @@ def episode_text(i: Inputs) -> DataFrame:
 # Streaming ------------------------------------------------------------------------------
 
 
-def _arriving(spark: SparkSession, sf_dir: str) -> Inputs:
-    """Inputs whose line items, and so whose files, arrive as a stream."""
-    given = spark.read.parquet(f"{sf_dir}/lineitem.parquet").schema
-    arriving = (
-        spark.readStream.schema(given).option("pathGlobFilter", "lineitem.parquet").parquet(sf_dir)
-    )
-    arriving.createOrReplaceTempView("arriving_lineitem")
-    return Inputs(spark, sf_dir, {"lineitem": "select * from arriving_lineitem"})
-
-
 def _landed(i: Inputs, slices: int = 3) -> str:
     """A folder where the manifest has landed in slices of the input order, ``cores`` files each."""
     folder, files = scratch_path(i.spark, "landed"), i.files()
@@ -589,17 +579,25 @@ def stream_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stream_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    i = _arriving(spark, sf_dir)
-    first = F.col("l_shipdate").cast("timestamp")
-    again = first + F.expr("interval 6 hours")  # every path is announced twice
-    timed = i["files"].select("path", F.explode(F.array(first, again)).alias("seen"))
-    sink, state = scratch_path(spark, "stream-dedup"), scratch_path(spark, "stream-state")
-    (
-        arrivals.dedup_arrivals(timed, "seen", "7 days").select("path")
-        .writeStream.format("parquet").option("path", sink).option("checkpointLocation", state)
-        .trigger(availableNow=True).start().awaitTermination()
-    )
-    return spark.read.schema("path string").parquet(sink)
+    """Three slices of announcements, each met by queries started anew from their checkpoints.
+
+    A row per path announced in time, and one per path with late announcements, with their number.
+    """
+    announced, columns = Inputs(spark, sf_dir)["announcements"], "path string, seen timestamp"
+    landed, split, sink = (scratch_path(spark, f"dedup-{name}") for name in ("landed", "split", "sink"))
+    states = [scratch_path(spark, "stream-state") for _ in range(2)]
+    for part in range(3):
+        announced.filter(F.col("slice") == part).select("path", "seen").write.mode("append").parquet(landed)
+        stream = spark.readStream.schema(columns).parquet(landed)
+        arrivals.split_late(stream, "seen", "7 days", split, states[0]).awaitTermination()
+        (
+            arrivals.dedup_arrivals(arrivals.timely(spark, split, columns), "seen", "7 days").select("path")
+            .writeStream.format("parquet").option("path", sink).option("checkpointLocation", states[1])
+            .trigger(availableNow=True).start().awaitTermination()
+        )
+    once = spark.read.schema("path string").parquet(sink).select("path", F.lit(False).alias("late"), F.lit(1).cast("long").alias("announced"))
+    late = arrivals.late_rows(spark, split, columns).groupBy("path").agg(F.count("*").alias("announced"))
+    return once.unionByName(late.withColumn("late", F.lit(True)))
 
 
 def stream_learn_ids(spark: SparkSession, sf_dir: str) -> DataFrame:

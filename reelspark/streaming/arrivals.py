@@ -28,6 +28,42 @@ def dedup_arrivals(files: DataFrame, time: str, delay: str) -> DataFrame:
     return files.withWatermark(time, delay).dropDuplicatesWithinWatermark(["path"])
 
 
+def split_late(files: DataFrame, time: str, delay: str, root: str, checkpoint: str) -> StreamingQuery:
+    """Writes a stream to a table of versions at ``root`` and marks in ``late`` what came too late.
+
+    Late is a row whose ``time`` is null or not after the watermark, the greatest time of all batches before
+    less ``delay``. A stateful operator would drop such rows unseen; here every row is kept, on one side or the other:
+    ``timely`` gives the stream of those in time, ``late_rows`` the table of the others. Each batch writes
+    the greatest time so far beside its rows and reads that of the batch before only, so its
+    cost does not grow with the stream; a repeated batch writes the same again.
+    """
+
+    def step(batch: DataFrame, batch_id: int) -> None:
+        spark, reached = batch.sparkSession, None
+        if batch_id > 0:
+            reached = spark.read.parquet(f"{root}-reached/version={batch_id - 1:020d}").first()["reached"]
+        when, limit = F.col(time), F.timestamp_micros(F.lit(reached).cast("long")) - F.expr(f"interval {delay}")
+        rows = batch.withColumn("late", when.isNull() | F.coalesce(when <= limit, F.lit(False)))
+        written = f"{root}/version={batch_id:020d}"
+        rows.write.mode("overwrite").partitionBy("late").parquet(written)
+        times = spark.read.schema(batch.schema).parquet(written)
+        top = F.greatest(F.max(F.unix_micros(when)), F.lit(reached).cast("long"))
+        write_version(times.agg(top.alias("reached")), f"{root}-reached", batch_id)
+
+    return _start(files, step, checkpoint)
+
+
+def timely(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """The stream of the rows that ``split_late`` found in time."""
+    rows = spark.readStream.schema(f"{schema}, version bigint, late boolean").parquet(root)
+    return rows.filter(~F.col("late")).drop("version", "late")
+
+
+def late_rows(spark: SparkSession, root: str, schema: str) -> DataFrame:
+    """The rows that ``split_late`` found too late, with the batch (``version``) they came in."""
+    return spark.read.schema(f"{schema}, version bigint, late boolean").parquet(root).filter("late").drop("late")
+
+
 def _start(
     files: DataFrame, step: Callable[[DataFrame, int], None], checkpoint: str
 ) -> StreamingQuery:

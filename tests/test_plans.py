@@ -366,6 +366,29 @@ def test_stream_learns_ids(spark, reference, arrivals_dir, tmp_path):
     assert learned.count() + reference.ids.count() == 2  # each version holds its new IDs only
 
 
+def test_late_rows_are_set_aside(spark, tmp_path):
+    """Over three runs with one checkpoint, every announcement is in time or in the table of late ones."""
+    columns, day = "path string, t timestamp", "2024-01-%02d 0%d:00:00"
+    batches = [
+        [("a", day % (1, 0)), ("a", day % (1, 1)), ("b", day % (5, 0))],
+        [("a", day % (5, 1)), ("c", day % (3, 0)), ("d", day % (4, 1)), ("e", None)],  # the watermark is the 4th, 0:00
+        [("b", day % (5, 0)), ("f", day % (4, 1)), ("c", day % (4, 1)), ("g", day % (4, 2))],  # now the 4th, 1:00
+    ]
+    root, sink = str(tmp_path / "split"), str(tmp_path / "sink")
+    for rows in batches:
+        spark.createDataFrame(rows, "path string, t string").selectExpr("path", "cast(t as timestamp) t").coalesce(1).write.mode(
+            "append"
+        ).parquet(str(tmp_path / "in"))
+        stream = spark.readStream.schema(columns).parquet(str(tmp_path / "in"))
+        arrivals.split_late(stream, "t", "1 day", root, str(tmp_path / "state")).awaitTermination()
+        once = arrivals.dedup_arrivals(arrivals.timely(spark, root, columns), "t", "1 day").writeStream.format("parquet")
+        once.option("path", sink).option("checkpointLocation", str(tmp_path / "state2")).trigger(availableNow=True).start().awaitTermination()
+    late = sorted((r.version, r.path) for r in arrivals.late_rows(spark, root, columns).collect())
+    assert late == [(1, "c"), (1, "e"), (2, "c"), (2, "f")]
+    assert spark.read.parquet(root).count() == sum(map(len, batches))
+    assert sorted(r.path for r in spark.read.parquet(sink).collect()) == ["a", "a", "b", "d", "g"]
+
+
 def test_stream_dedup(spark, tmp_path):
     rows = spark.createDataFrame(
         [("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:10:00"), ("b", "2024-01-01 00:05:00")], "path string, t string"
