@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -83,13 +83,19 @@ def with_row(rows: DataFrame, name: str = ROW) -> DataFrame:
 
 
 def first_claims(
-    rows: DataFrame, target: str, order: Sequence[Column], name: str, taken: DataFrame | None = None
+    rows: DataFrame,
+    target: str,
+    order: Sequence[Column],
+    name: str,
+    taken: DataFrame | None = None,
+    grant: Callable[[DataFrame], DataFrame] | None = None,
 ) -> DataFrame:
     """Adds a flag: is this row the first, in the given order, to claim its target?
 
     ``rows`` comes from ``with_row``, or is cheap to read twice and has its number: of rows equal
     in ``order`` the lower number wins. Null targets claim nothing and get null. ``taken`` holds
-    targets (its first column) that are gone before any row asks.
+    targets (its first column) that are gone before any row asks. ``grant`` gets a row per target (column
+    ``path``) that some row may have, and returns those that nobody got in an earlier run.
 
     The winner of a target is a minimum, combined before the shuffle, so a target that half of
     all rows claim is one row per task. Only targets are shuffled, and of ``taken`` only what this
@@ -105,6 +111,9 @@ def first_claims(
     if taken is not None:
         gone = taken.select(F.col(taken.columns[0]).alias("_target"))
         winners = winners.join(gone, "_target", "left_anti")
+    if grant is not None:
+        asked = _kept(winners, "asked")
+        winners = asked.join(grant(asked.select(F.col("_target").alias("path"))).toDF("_target"), "_target", "left_semi")
     winners = _kept(winners.select(ROW), "winners").withColumn("_won", F.lit(True))
     won = F.when(wanted.isNotNull(), F.coalesce("_won", F.lit(False)))
     return rows.join(winners, ROW, "left").withColumn(name, won).select(*rows.columns, name)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from reelspark.functions import paths
 from reelspark.operators.ordinals import ROW, first_claims, with_row
 
+# What earlier runs leave of the targets a run asks for; see first_claims.
+Grant = Callable[[DataFrame], DataFrame]
+
 # Claims on one path are settled in the order of the input, then by path.
 CLAIM_ORDER = ("input_ord", "path")
 
@@ -32,10 +37,10 @@ def file_status(path: Column, path_type: Column) -> Column:
     )
 
 
-def _claims(rows: DataFrame, target: str, taken: DataFrame | None = None) -> DataFrame:
+def _claims(rows: DataFrame, target: str, taken: DataFrame | None = None, grant: Grant | None = None) -> DataFrame:
     """first_claims in CLAIM_ORDER as column ``_first``; rows without a number are written first."""
     numbered = rows if ROW in rows.columns else with_row(rows)
-    claimed = first_claims(numbered, target, [F.col(c) for c in CLAIM_ORDER], "_first", taken)
+    claimed = first_claims(numbered, target, [F.col(c) for c in CLAIM_ORDER], "_first", taken, grant)
     return claimed if ROW in rows.columns else claimed.drop(ROW)
 
 
@@ -46,7 +51,9 @@ def dest_conflicts(rows: DataFrame, target: str) -> DataFrame:
     ).drop("_first")
 
 
-def rename_action(rows: DataFrame, listing: DataFrame | None, simulate: bool = False) -> DataFrame:
+def rename_action(
+    rows: DataFrame, listing: DataFrame | None, simulate: bool = False, grant: Grant | None = None
+) -> DataFrame:
     """Adds ``rename_action`` for rows that have ``path``, ``path_type`` and ``rename_target``.
 
     missing; already_named; conflict (the target exists, or an earlier file claims it);
@@ -55,7 +62,7 @@ def rename_action(rows: DataFrame, listing: DataFrame | None, simulate: bool = F
     contest = F.when(F.col("rename_target") != F.col("path"), F.col("rename_target"))
     missing = file_status(F.col("path"), F.col("path_type")).isin("empty_path", "missing")
     entered = rows.withColumn("_wanted", F.when(~missing, contest))
-    claimed = _claims(entered, "_wanted", listing)
+    claimed = _claims(entered, "_wanted", listing, grant)
     action = (
         F.when(F.col("rename_target").isNull(), None)
         .when(missing, "missing")
@@ -66,7 +73,9 @@ def rename_action(rows: DataFrame, listing: DataFrame | None, simulate: bool = F
     return claimed.withColumn("rename_action", action).drop("_wanted", "_first")
 
 
-def organize_action(rows: DataFrame, listing: DataFrame | None, simulate: bool = False) -> DataFrame:
+def organize_action(
+    rows: DataFrame, listing: DataFrame | None, simulate: bool = False, grant: Grant | None = None
+) -> DataFrame:
     """Adds ``organize_action`` for rows that have ``organize_target``: as for renaming.
 
     Only regular files are moved. A file that is in its place already is ``in_place``.
@@ -74,7 +83,7 @@ def organize_action(rows: DataFrame, listing: DataFrame | None, simulate: bool =
     contest = F.when(F.col("organize_target") != F.col("path"), F.col("organize_target"))
     status = file_status(F.col("path"), F.col("path_type"))
     entered = rows.withColumn("_wanted", F.when(status == "ok", contest))
-    claimed = _claims(entered, "_wanted", listing)
+    claimed = _claims(entered, "_wanted", listing, grant)
     action = (
         F.when(F.col("organize_target").isNull(), None)
         .when(status != "ok", status)

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from dataclasses import dataclass, fields, replace
 
 from pyspark.sql import Column, DataFrame
@@ -135,6 +136,7 @@ def process(
     options: Options | None = None,
     listing: DataFrame | None = None,
     spec: MediaSpec = TV,
+    grants: Mapping[str, planning.Grant] | None = None,
 ) -> DataFrame:
     """The whole run: infer, alias, fetch, rename, organise, attributes.
 
@@ -143,9 +145,10 @@ def process(
     plan that moves the rows once.
 
     ``listing`` holds the paths that exist on disk. A file that cannot be planned keeps its
-    row, with the first reason in ``status``; the others go on.
+    row, with the first reason in ``status``; the others go on. ``grants`` says what earlier runs left of
+    the targets of ``rename`` and ``organize``.
     """
-    options = options or Options()
+    options, grants = options or Options(), grants or {}
     rows = infer_report(files, reference, options, spec)
     failed = F.col("fetch_status").isin(enrich.NO_SERIES_ID, enrich.NO_SEASON, enrich.NO_EPISODE)
     error = (
@@ -162,7 +165,7 @@ def process(
     if options.rename or options.organize:
         rows = with_row(rows)  # both claims, and the plan, read these rows
     if options.rename:
-        rows = planning.rename_action(rows, listing, options.simulate)
+        rows = planning.rename_action(rows, listing, options.simulate, grants.get("rename"))
     else:
         rows = rows.withColumn("rename_action", _none())
 
@@ -175,7 +178,7 @@ def process(
         # Places are inside the library, so only what is there can be in the way.
         inside = F.col("path").startswith(f"{options.library}/")
         places = None if listing is None else listing.select("path").filter(inside)
-        rows = planning.organize_action(rows, places, options.simulate)
+        rows = planning.organize_action(rows, places, options.simulate, grants.get("organize"))
     else:
         rows = rows.withColumn("organize_action", _none())
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import replace
+from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -87,40 +87,66 @@ def stream_plan(
 ) -> StreamingQuery:
     """Plans each micro-batch with the batch plan and writes it as its own version.
 
-    A batch that is run again after a failure replaces its own folders, so every file is
-    planned exactly once. Targets that earlier batches claimed count as taken, like those in
-    ``listing``: each batch adds the paths it gives away to ``claims`` (the sink's name with
-    ``-claims`` unless given), and later ones read only that column of paths.
+    A batch that is run again after a failure replaces its own folder, so every file is
+    planned exactly once. Targets that earlier batches gave away count as taken, like those in
+    ``listing``: they are keyed state, one ``KeyedClaims`` for renaming and one for organising, in
+    folders under ``claims`` (the sink's name with ``-claims`` unless given). Both kinds are apart, as
+    in ``process``, so batches in the order of the input give the plan of one run over all files.
     """
-    given_away = claims or f"{sink.rstrip('/')}-claims"
+    root = claims or f"{sink.rstrip('/')}-claims"
+    kinds = {kind: KeyedClaims(f"{root}/{kind}") for kind in ("rename", "organize")}
 
     def step(batch: DataFrame, batch_id: int) -> None:
-        spark, taken = batch.sparkSession, listing
-        if batch_id > 0:
-            earlier = earlier_versions(spark, given_away, batch_id, "path string")
-            taken = earlier if listing is None else listing.select("path").unionByName(earlier)
-        plan = process(batch, reference, options, taken, spec)
-        planned = spark.read.schema(plan.schema).parquet(write_version(plan, sink, batch_id))
-        write_version(claimed_targets(planned), given_away, batch_id)
+        grants = {kind: lambda asked, k=k: k.grant(asked, batch_id) for kind, k in kinds.items()}
+        write_version(process(batch, reference, options, listing, spec, grants), sink, batch_id)
 
     return _start(files, step, checkpoint)
 
 
+@dataclass(frozen=True)
+class KeyedClaims:
+    """Paths that the batches of a stream have given away, as keyed state of a stream of their own.
+
+    The state is a RocksDB store hashed by path: a batch looks up the paths it asks for and reads nothing that
+    earlier ones wrote, so its cost follows its own rows. Under ``root`` lie ``asked`` and ``granted``, a version
+    per batch, and ``state``, the checkpoint of the stream from one to the other.
+    """
+
+    root: str
+
+    def grant(self, asked: DataFrame, version: int) -> DataFrame:
+        """The paths among ``asked`` (one column, ``path``) that no earlier version was granted.
+
+        A null path is never granted. A version's questions are written once. One that is run again after a
+        failure gets the answer of its first run, whether the state had taken it in or not; a path that
+        it did not ask for then is not granted now.
+        """
+        spark, answer = asked.sparkSession, f"{self.root}/granted/version={version:020d}"
+        if not _complete(spark, f"{self.root}/asked/version={version:020d}"):
+            write_version(asked.filter("path is not null").distinct(), f"{self.root}/asked", version)
+        if not _complete(spark, answer):
+            spark.conf.set(
+                "spark.sql.streaming.stateStore.providerClass",
+                "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+            )
+            questions = spark.readStream.schema("path string, version bigint").parquet(f"{self.root}/asked")
+            first = questions.dropDuplicates(["path"]).select("path")
+            _start(first, lambda new, _: new.write.mode("overwrite").parquet(answer), f"{self.root}/state").awaitTermination()
+        return spark.read.schema("path string").parquet(answer)
+
+
+def _complete(spark: SparkSession, folder: str) -> bool:
+    """Has a job that writes this folder been committed?"""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{folder}/_SUCCESS")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path)
+
+
 def earlier_versions(spark: SparkSession, root: str, before: int, schema: str) -> DataFrame:
     """The rows of all versions of a table before one; whole versions are pruned."""
     versions = spark.read.schema(f"{schema}, version bigint").parquet(root)
     return versions.filter(F.col("version") < before).drop("version")
 
 
-def claimed_targets(plan: DataFrame) -> DataFrame:
-    """Paths that a plan gives away."""
-    names = plan.filter(F.col("rename_action").isin("rename", "simulated"))
-    places = plan.filter(F.col("organize_action").isin("move", "simulated"))
-    return names.select(F.col("rename_target").alias("path")).unionByName(
-        places.select(F.col("organize_target").alias("path"))
-    )
-
-
 def stream_learn_ids(
     files: DataFrame,
     reference: Reference,

@@ -348,7 +348,9 @@ def test_stream_is_batch(spark, manifest, reference, listing, arrivals_dir, tmp_
     arrivals.stream_plan(files, reference, sink, str(tmp_path / "state"), Options(), listing).awaitTermination()
     streamed = spark.read.parquet(sink)
     assert streamed.select("version").distinct().count() == 4
-    assert spark.read.parquet(f"{sink}-claims").columns == ["path", "version"]
+    given = spark.read.parquet(f"{sink}-claims/rename/granted").select("path").collect()
+    renamed = streamed.filter("rename_action = 'rename'").select("rename_target").collect()
+    assert sorted(r[0] for r in given) == sorted(r[0] for r in renamed)
     batch = pipeline.process(manifest, reference, Options(), listing)
     assert sorted(map(str, streamed.drop("version").collect())) == sorted(map(str, batch.collect()))
     # Nothing new: a second start plans nothing again.
@@ -356,6 +358,45 @@ def test_stream_is_batch(spark, manifest, reference, listing, arrivals_dir, tmp_
     assert spark.read.parquet(sink).count() == len(FILES)
 
 
+def test_claims_are_keyed_state(spark, tmp_path):
+    """Ten batches: each path goes to the first that asks, and a batch reads its own questions only."""
+    root, seen = str(tmp_path / "claims"), set()
+    ask = lambda paths: spark.createDataFrame([(p,) for p in paths], "path string")
+    got = lambda table: sorted(r.path for r in table.collect())
+    answers = []
+    for n in range(10):
+        paths = [f"/p/{(n * 60 + i) % 350}" for i in range(100)]
+        granted = got(arrivals.KeyedClaims(root).grant(ask([*paths, paths[0], None]), n))
+        assert granted == sorted(set(paths) - seen)
+        seen |= set(paths)
+        answers.append(granted)
+    # A batch that runs again gets its own answer, and no path it had not asked for.
+    assert got(arrivals.KeyedClaims(root).grant(ask(["/p/0", "/new"]), 9)) == answers[9]
+    assert got(arrivals.KeyedClaims(root).grant(ask(["/p/0", "/new"]), 10)) == ["/new"]
+    assert got(arrivals.KeyedClaims(root).grant(ask([]), 11)) == []
+
+
+def test_claims_survive_a_lost_answer(spark, tmp_path, monkeypatch):
+    """A crash while the answer is written: the state goes back to the batch before and answers again."""
+    root = str(tmp_path / "claims")
+    ask = lambda *paths: spark.createDataFrame([(p,) for p in paths], "path string")
+    arrivals.KeyedClaims(root).grant(ask("a", "b"), 0)
+    start = arrivals._start
+
+    def crash(files, step, checkpoint):
+        def half(batch, batch_id):
+            batch.count()
+            raise RuntimeError("lost")
+
+        return start(files, half, checkpoint)
+
+    monkeypatch.setattr(arrivals, "_start", crash)
+    with pytest.raises(Exception, match="lost"):
+        arrivals.KeyedClaims(root).grant(ask("b", "c"), 1)
+    monkeypatch.undo()
+    assert [r.path for r in arrivals.KeyedClaims(root).grant(ask("b", "c"), 1).collect()] == ["c"]
+
+
 def test_stream_learns_ids(spark, reference, arrivals_dir, tmp_path):
     sink = str(tmp_path / "ids")
     files = arrivals.manifest_stream(spark, arrivals_dir, 1)
