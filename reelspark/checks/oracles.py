@@ -420,6 +420,17 @@ def _queries() -> dict[str, str]:
         union all select request_id, granularity, 1, txt, case when txt is null then 'series_not_found' else 'ok' end
         from o_dispatch d left join (select show_id, {SERIES_TEXT} txt from o_shows) on show_id = found_id where granularity = 'series'
         union all select request_id, granularity, 1, null, coalesce(reason, 'nothing_found') from o_dispatch where granularity = 'none'"""
+    q["fetch_report_raw"] = f"""select * from (with raw as (select series_id, cast({j('season')} as int) season, cast({j('number')} as int) episode, payload,
+          row_number() over (partition by series_id, {j('season')} order by cast({j('number')} as int), cast({j('id')} as int)) idx,
+          row_number() over (partition by series_id, {j('season')}, {j('number')} order by cast({j('id')} as int)) nth from episode_payloads)
+        select request_id, granularity, cast(case granularity when 'season' then coalesce(e.idx, 1) else 1 end as bigint) part,
+          case granularity when 'series' then s.payload else e.payload end "text",
+          case when granularity = 'none' then coalesce(reason, 'nothing_found')
+            when coalesce(s.payload, e.payload) is null then concat(granularity, '_not_found') else 'ok' end status
+        from o_dispatch d
+        left join show_payloads s on granularity = 'series' and s.show_id = found_id
+        left join raw e on e.series_id = found_id and e.season = d.season
+          and (granularity = 'season' or granularity = 'episode' and e.episode = d.episode and nth = 1)) x"""
     return q
 
 

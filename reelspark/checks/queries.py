@@ -68,13 +68,9 @@ class Inputs:
     def hits(self) -> DataFrame:
         return catalog.parse_search_results(self["search_payloads"])
 
-    def payload_catalog(self) -> catalog.TableCatalog:
+    def payload_catalog(self) -> catalog.PayloadCatalog:
         """The catalogue as read from JSON payloads."""
-        return catalog.TableCatalog(
-            catalog.parse_shows(self["show_payloads"]),
-            catalog.parse_seasons(self["season_payloads"]),
-            catalog.parse_episodes(self["episode_payloads"]),
-        )
+        return catalog.PayloadCatalog(self["show_payloads"], self["season_payloads"], self["episode_payloads"])
 
     def table_catalog(self) -> catalog.TableCatalog:
         """The catalogue as plain tables."""
@@ -169,7 +165,7 @@ def scan_search_results(i: Inputs) -> DataFrame:
 
 @register
 def raw_payload(i: Inputs) -> DataFrame:
-    return catalog.raw_episodes(i["episode_payloads"])
+    return i.payload_catalog().raw_episodes().drop("episode_id")
 
 
 @register
@@ -637,6 +633,11 @@ def fetch_report(i: Inputs) -> DataFrame:
     return pipeline.fetch_report(i["requests"], i.payload_reference())
 
 
+@register
+def fetch_report_raw(i: Inputs) -> DataFrame:
+    return pipeline.fetch_report(i["requests"], i.payload_reference(), raw=True)
+
+
 @register
 def apply(i: Inputs) -> DataFrame:
     return pipeline.apply(i.assigned_files(), i["assignments"], i.payload_reference(), i["listing"])

@@ -29,6 +29,19 @@ def season_report(episodes: DataFrame) -> DataFrame:
     return episode_ordinals(episodes).select("series_id", "season", "idx", _episode_text().alias("text"))
 
 
+def raw_episode_report(records: DataFrame) -> DataFrame:
+    """One record per episode, as it came; of several with one number, that with the lowest ID."""
+    return (
+        records.groupBy("series_id", "season", "episode")
+        .agg(F.min(F.struct("episode_id", "text"))["text"].alias("text"))
+    )
+
+
+def raw_season_report(records: DataFrame) -> DataFrame:
+    """The records of each season, as they came, one row per episode; ``idx`` gives their order."""
+    return episode_ordinals(records).select("series_id", "season", "idx", "text")
+
+
 def season_text(episodes: DataFrame) -> DataFrame:
     """A season as one text, a blank line between episodes: for readers who want one row per season."""
     lines = F.array_sort(F.collect_list(F.struct("idx", "text")))

@@ -228,12 +228,13 @@ def dispatch(requests: DataFrame, reference: Reference) -> DataFrame:
     )
 
 
-def fetch_report(requests: DataFrame, reference: Reference) -> DataFrame:
+def fetch_report(requests: DataFrame, reference: Reference, raw: bool = False) -> DataFrame:
     """The text each lookup request asks for: ``request_id, granularity, part, text, status``.
 
     A season is one row per episode, ``part`` giving their order; all else is part 1. Season
     texts are made only for seasons some request asks for. Requests are checked and resolved
-    once, and kept as a table.
+    once, and kept as a table. ``raw`` asks for the catalogue's records as they came instead of our text;
+    the catalogue must be a ``RawCatalog``.
     """
     catalog = reference.catalog
     routed = written(
@@ -245,14 +246,17 @@ def fetch_report(requests: DataFrame, reference: Reference) -> DataFrame:
     only = lambda kind: routed.filter(F.col("granularity") == kind)
 
     wanted = only("season").select("series_id", "season").distinct()
-    episodes = catalog.episodes()
-    seasons = reports.season_report(
-        episodes.join(wanted, ["series_id", "season"], "left_semi")
-    ).withColumnRenamed("idx", "part")
+    if raw:
+        episodes, by_season, by_episode = catalog.raw_episodes(), reports.raw_season_report, reports.raw_episode_report
+        series = catalog.raw_shows().withColumnRenamed("show_id", "series_id")
+    else:
+        episodes, by_season, by_episode = catalog.episodes(), reports.season_report, reports.episode_report
+        series = reports.series_report(catalog.shows())
+    seasons = by_season(episodes.join(wanted, ["series_id", "season"], "left_semi")).withColumnRenamed("idx", "part")
     answers = [
-        only("episode").join(reports.episode_report(episodes), ["series_id", "season", "episode"], "left"),
+        only("episode").join(by_episode(episodes), ["series_id", "season", "episode"], "left"),
         only("season").join(seasons, ["series_id", "season"], "left"),
-        only("series").join(reports.series_report(catalog.shows()), "series_id", "left"),
+        only("series").join(series, "series_id", "left"),
         only("none"),
     ]
     refused = F.coalesce("reason", F.lit("nothing_found"))

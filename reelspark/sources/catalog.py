@@ -25,6 +25,17 @@ class Catalog(Protocol):
     def episodes(self) -> DataFrame: ...
 
 
+class RawCatalog(Protocol):
+    """A catalogue that still has its records as they came, column ``text``, beside their keys.
+
+    ``raw_shows``: show_id, text. ``raw_episodes``: series_id, season, episode, episode_id, text.
+    """
+
+    def raw_shows(self) -> DataFrame: ...
+
+    def raw_episodes(self) -> DataFrame: ...
+
+
 @dataclass(frozen=True)
 class TableCatalog:
     """A catalogue whose tables are at hand already."""
@@ -43,6 +54,30 @@ class TableCatalog:
         return self.episode_table
 
 
+@dataclass(frozen=True)
+class PayloadCatalog:
+    """A catalogue of JSON payloads: a show or an episode per row, an array of seasons per series."""
+
+    show_payloads: DataFrame
+    season_payloads: DataFrame
+    episode_payloads: DataFrame
+
+    def shows(self) -> DataFrame:
+        return parse_shows(self.show_payloads)
+
+    def seasons(self) -> DataFrame:
+        return parse_seasons(self.season_payloads)
+
+    def episodes(self) -> DataFrame:
+        return parse_episodes(self.episode_payloads)
+
+    def raw_shows(self) -> DataFrame:
+        return raw_shows(self.show_payloads)
+
+    def raw_episodes(self) -> DataFrame:
+        return raw_episodes(self.episode_payloads)
+
+
 @dataclass(frozen=True)
 class JsonCatalog:
     """A snapshot as JSON lines: folders ``shows``, ``seasons`` and ``episodes`` under a root.
@@ -71,6 +106,14 @@ class JsonCatalog:
         fields = [f for f in lines.columns if f != "series_id"]
         return episode_columns(lines.select("series_id", F.struct(*fields).alias("item")))
 
+    def raw_shows(self) -> DataFrame:
+        return raw_shows(self.spark.read.text(f"{self.root}/shows"), "value")
+
+    def raw_episodes(self) -> DataFrame:
+        """Lines as they are, with the ``series_id`` that the snapshot adds."""
+        series = F.get_json_object("value", "$.series_id").try_cast("int").alias("series_id")
+        return raw_episodes(self.spark.read.text(f"{self.root}/episodes").select(series, "value"), "value")
+
 
 def show_columns(shows: DataFrame) -> DataFrame:
     """Key and name beside the ``show`` struct."""
@@ -140,12 +183,20 @@ def parse_search_results(payloads: DataFrame, payload: str = "payload") -> DataF
     )
 
 
-def raw_episodes(payloads: DataFrame) -> DataFrame:
+def raw_shows(payloads: DataFrame, payload: str = "payload") -> DataFrame:
+    """Show records as they came, one JSON object per row, beside their ID."""
+    return payloads.select(
+        F.get_json_object(payload, "$.id").try_cast("int").alias("show_id"), F.col(payload).alias("text")
+    )
+
+
+def raw_episodes(payloads: DataFrame, payload: str = "payload") -> DataFrame:
     """Episode records as they came, beside what they are looked up by.
 
     ``payloads``: series_id, payload (one JSON record).
     """
-    number = lambda field: F.get_json_object("payload", f"$.{field}").try_cast("int")
+    number = lambda field: F.get_json_object(payload, f"$.{field}").try_cast("int")
     return payloads.select(
-        "series_id", number("season").alias("season"), number("number").alias("episode"), F.col("payload").alias("text")
+        "series_id", number("season").alias("season"), number("number").alias("episode"),
+        number("id").alias("episode_id"), F.col(payload).alias("text"),
     )

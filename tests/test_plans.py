@@ -1,6 +1,7 @@
 """Plans end to end on small tables, with every outcome present."""
 
 import json
+from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
@@ -174,6 +175,27 @@ def test_fetch_report(spark, reference):
     assert got[3].text == "Night Harbor - ID: 1 - None\nPremiered: None - Status: None\n"
 
 
+def test_fetch_report_raw(spark, reference):
+    """Untouched JSON at every granularity; what is not found, and why, is as in the text form."""
+    show = '{"id": 1,  "name":"Night Harbor", "_links": {"a":[1]}}'
+    episode = '{"id": %d, "season":%d,"number": %d,  "name":"x", "_links":null}'
+    shows = spark.createDataFrame([(show,), ("no json",)], "payload string")
+    seasons = spark.createDataFrame([], "series_id int, payload string")
+    records = [(e[0], episode % (e[3], e[1], e[2])) for e in EPISODES]
+    episodes = spark.createDataFrame([*records, (1, "no json"), (1, None)], "series_id int, payload string")
+    held = replace(reference, catalog=catalog.PayloadCatalog(shows, seasons, episodes), index=reference.search_index())
+    asked = spark.createDataFrame(
+        [r[:5] for r in REQUESTS] + [(12, "", 1, 3, 8)], "request_id int, series string, series_id int, season int, episode int"
+    )
+    raw = pipeline.fetch_report(asked, held, raw=True).collect()
+    text = pipeline.fetch_report(asked, reference).collect()
+    outcome = lambda rows: sorted((r.request_id, r.granularity, r.part, r.status) for r in rows)
+    assert outcome(raw) == outcome(text)
+    got = {(r.request_id, r.part): r.text for r in raw}
+    assert got[3, 1] == show and got[1, 1] == episode % (201, 1, 1) and got[12, 1] == episode % (108, 3, 8)
+    assert [got[2, 1], got[2, 2]] == [episode % (201, 1, 1), episode % (202, 1, 2)]
+
+
 def test_season_is_a_row_per_episode(spark, reference):
     whole = reports.season_text(reference.catalog.episodes()).filter("series_id = 1").first().text
     rows = reports.season_report(reference.catalog.episodes()).filter("series_id = 1").orderBy("idx").collect()
@@ -310,6 +332,8 @@ def test_json_catalog(spark, tmp_path):
         (tmp_path / name).mkdir()
         (tmp_path / name / "part.json").write_text("\n".join(map(json.dumps, rows)))
     snapshot = catalog.JsonCatalog(spark, str(tmp_path))
+    assert snapshot.raw_shows().first()[:] == (1, json.dumps(lines["shows"][0]))
+    assert snapshot.raw_episodes().first()[:] == (1, 3, 4, 100, json.dumps(lines["episodes"][0]))
     assert snapshot.shows().first().show.network.name == "N"
     assert snapshot.seasons().select("series_id", "ord", "season_id", "season").first()[:] == (1, 0, 10, 3)
     row = snapshot.episodes().first()
