@@ -383,7 +383,7 @@ def test_stream_is_batch(spark, manifest, reference, listing, arrivals_dir, tmp_
 
 
 def test_claims_are_keyed_state(spark, tmp_path):
-    """Ten batches: each path goes to the first that asks, and a batch reads its own questions only."""
+    """Ten batches: each path goes to the first that asks; a batch that runs again gets its own answer."""
     root, seen = str(tmp_path / "claims"), set()
     ask = lambda paths: spark.createDataFrame([(p,) for p in paths], "path string")
     got = lambda table: sorted(r.path for r in table.collect())
