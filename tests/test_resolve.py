@@ -7,6 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from reelspark.operators import resolve
+from reelspark.session import tune
 from reelspark.sources import tables
 
 NAMES = [
@@ -231,6 +232,27 @@ def test_hot_key_of_a_shuffle_join_is_split(spark):
             spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
 
 
+def test_tables_that_grow_in_a_plan_are_not_broadcast(spark, tmp_path):
+    """A small file of names makes many signatures: their size counts, not that of the file."""
+    tune(spark)
+    names = spark.range(6000).select(F.col("id").cast("int").alias("show_id"), F.md5(F.col("id").cast("string")).alias("name"))
+    names.write.parquet(str(tmp_path / "names"))
+    names = spark.read.parquet(str(tmp_path / "names"))
+    found = resolve.search_candidates(names.withColumnRenamed("name", "query"), resolve.name_index(names))
+    assert len(found.collect()) == 6000
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert "SortMergeJoin [_signature" in plan and "BroadcastHashJoin [_signature" not in plan
+
+
+def test_small_tables_are_broadcast_once_measured(spark):
+    """AQE turns the shuffle join of a table that is small indeed into a broadcast."""
+    tune(spark)
+    rows = spark.range(1000).select("id", F.col("id").alias("k"))
+    joined = resolve.attach(rows, rows.select("k", F.col("id").alias("v")), {"k": F.col("k")}, ["v"])
+    assert len(joined.collect()) == 1000
+    assert "BroadcastHashJoin" in joined._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+
+
 def test_rows_without_key_are_spread(spark):
     rows = spark.range(20_000).select("id", F.lit(None).cast("string").alias("k"))
     reference = spark.createDataFrame([("x", 1)], "k string, v int")
