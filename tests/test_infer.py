@@ -1,10 +1,12 @@
 """Reading file names."""
 
+from dataclasses import replace
+
 import pytest
 from pyspark.sql import functions as F
 
 from reelspark.checks import inputs
-from reelspark.operators.infer import NO_PATTERNS, TV, MediaSpec, Shape, infer, metadata_struct, tv_fields
+from reelspark.operators.infer import NO_PATTERNS, TV, MediaSpec, Shape, infer, match_shapes, metadata_struct, tv_fields
 
 # filename, shape, series, season, episode, title
 CASES = [
@@ -91,3 +93,17 @@ def test_names_are_parsed_once(spark):
 
     plan = series_keys(infer(files))._jdf.queryExecution().executedPlan().toString()
     assert plan.count(r"S(\d{2})") == 1
+
+
+def test_shapes_are_one_replacement(spark):
+    """All shapes are tried in one pass over a name; a shape that refers to a group is not merged, with the same results."""
+    files = spark.createDataFrame([(c[0],) for c in CASES] + [("abb.x",), ("",), (None,)], "path string")
+    merged = infer(files).select("path", "infer_status", "parts", "series", "title")
+    steps = match_shapes(files, TV.shapes)
+    assert steps._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
+    again = replace(TV, shapes=(*TV.shapes, Shape(r"(?Ud)^(.+)(b)\2\.(.+)\z", ("series", "episode", "extension"))))
+    chained = infer(files, again).select("path", "infer_status", "parts", "series", "title")
+    key = lambda row: str(row.path)
+    rows, others = (sorted(x.collect(), key=key) for x in (merged, chained))
+    assert [r for r in rows if r.path != "abb.x"] == [r for r in others if r.path != "abb.x"]
+    assert {r.path: r.parts and r.parts.shape for r in others}["abb.x"] == 7
