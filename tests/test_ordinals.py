@@ -5,6 +5,7 @@ import os
 from pyspark.sql import functions as F
 
 from reelspark import session
+from reelspark.operators import assign
 from reelspark.operators.ordinals import first_claims, number_rows, with_row
 
 
@@ -94,3 +95,20 @@ def test_scratch_tables_can_go(spark, monkeypatch):
     assert two.count() == 4 and len(os.listdir(local)) == 1
     session.clear_scratch(spark)
     assert not os.path.exists(local)
+
+
+def test_natural_keys_are_columns(spark, monkeypatch):
+    """A sort works its expressions out anew for every comparison, so the keys are columns by then."""
+    orders = []
+
+    def seen(rows, order, *more):
+        orders.extend(map(str, order))
+        return number_rows(rows, order, *more)
+
+    monkeypatch.setattr(assign, "number_rows", seen)
+    names = ["10 a", "9 b", "009 a", "x", None, "9 a"]
+    files = spark.createDataFrame([(1, name and f"/in/{name}") for name in names], "request_id int, path string")
+    got = assign.apply_ordinals(files)
+    assert got.columns == ["request_id", "path", "idx"]
+    assert [r.path and r.path[4:] for r in got.orderBy("idx").collect()] == [None, "x", "009 a", "9 a", "9 b", "10 a"]
+    assert orders and not [order for order in orders if "regexp" in order or "substring" in order]
