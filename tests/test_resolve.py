@@ -103,6 +103,21 @@ def test_search_at_any_threshold_is_brute_force(spark, similarity):
     got = {(r.query_key, r.name_key): (r.score, r.show_id, r.n_shows) for r in found}
     assert len(got) == len(found)
     assert got == brute_force(asked, names, similarity)
+    leading = resolve.search_candidates(queries, index, similarity=similarity, leading=True).collect()
+    first = {(r.query_key, r.name_key): (r.score, r.show_id, r.n_shows) for r in leading}
+    assert len(first) == len(leading) and first.items() <= got.items()
+    best = lambda pairs: {q: min((-s, i, n) for (p, n), (s, i, _) in pairs.items() if p == q) for q, _ in pairs}
+    assert best(first) == best(got)
+
+
+def test_best_of_a_small_vocabulary_makes_no_square(spark):
+    """One name for each query, without a pair for every two names that share two of three words."""
+    names = [(i, f"Night Harbor {i:04d}") for i in range(1000, 1400)]
+    asked = [*(n[:-1] for _, n in names), *(n for _, n in names), "night harbor", "harbor 1377 night", "night 1024 lamp"]
+    queries, index, found = search(spark, asked, names)
+    leading = resolve.search_candidates(queries, index, leading=True)
+    assert sorted(resolve.top_candidate(leading).collect()) == sorted(resolve.top_candidate(found).collect())
+    assert found.count() > 150_000 and leading.count() < 1_500
 
 
 def test_threshold_reaches_the_cascade(spark):
