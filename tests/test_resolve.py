@@ -280,3 +280,23 @@ def test_rows_without_key_are_spread(spark):
     finally:
         spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
         spark.conf.set("spark.sql.adaptive.enabled", "true")
+
+
+def test_shows_are_counted_without_pairs(spark, monkeypatch):
+    draw = random.Random(4)
+    name = lambda: " ".join(draw.choice("a b c d e f gg hh".split()) for _ in range(draw.choice([1, 2, 3, 3, 4, 6, 10, 14])))
+    names = [(n, name()) for n in range(60)]
+    asked = [name() for _ in range(40)] + [n for _, n in names[:20]] + ["zz", ""]
+    queries, index, _ = search(spark, asked, names)
+    want = dict.fromkeys({key(a) for a in asked} - {""}, 0)
+    for (q, _), (_, _, n_shows) in brute_force(asked, names).items():
+        want[q] += n_shows
+    counted = resolve.search_candidates(queries, index, counted=True)
+    assert {r.query_key: r.n_shows for r in resolve.candidate_count(queries, counted).collect()} == want
+    # Many short names that share two words: no pair of them is made.
+    short = [(n, f"night harbor {n:03d}") for n in range(200)]
+    queries, index, _ = search(spark, [n for _, n in short], short)
+    pairs = resolve.word_pairs
+    monkeypatch.setattr(resolve, "word_pairs", lambda *given: pairs(*given).filter(F.raise_error(F.lit("a pair")).cast("boolean")))
+    counted = resolve.search_candidates(queries, index, counted=True)
+    assert {r.n_shows for r in resolve.candidate_count(queries, counted).collect()} == {200}
