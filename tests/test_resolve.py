@@ -300,3 +300,19 @@ def test_shows_are_counted_without_pairs(spark, monkeypatch):
     monkeypatch.setattr(resolve, "word_pairs", lambda *given: pairs(*given).filter(F.raise_error(F.lit("a pair")).cast("boolean")))
     counted = resolve.search_candidates(queries, index, counted=True)
     assert {r.n_shows for r in resolve.candidate_count(queries, counted).collect()} == {200}
+
+
+def test_names_are_joined_without_signatures(spark, monkeypatch):
+    """The best of a query that is a name is that name: nothing of it is looked for by signature."""
+    asked, pairs = [], resolve._signature_pairs
+
+    def seen(keys, *more):
+        asked.extend(r.query_key for r in keys.collect())
+        return pairs(keys, *more)
+
+    monkeypatch.setattr(resolve, "_signature_pairs", seen)
+    queries, index, _ = search(spark, ["Night Harbor", "harbo", "the"])
+    asked.clear()
+    best = resolve.top_candidate(resolve.search_candidates(queries, index, leading=True)).collect()
+    assert {r.query_key: (r.name_key, r.show_id) for r in best} == {"night harbor": ("night harbor", 2), "the": ("the", 9), "harbo": ("harbor", 7)}
+    assert asked == ["harbo"]
