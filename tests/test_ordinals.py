@@ -1,11 +1,12 @@
 """Numbering and claims, with one group holding a third of the rows."""
 
 import os
+import time
 
 from pyspark.sql import functions as F
 
 from reelspark import session
-from reelspark.operators import assign
+from reelspark.operators import assign, ordinals
 from reelspark.operators.ordinals import first_claims, number_rows, with_row
 
 
@@ -85,6 +86,33 @@ def test_hot_target_is_spread(spark):
     assert sum(sizes) == 20_000 and max(sizes) < 5_000
 
 
+def test_winners_are_marked_where_the_rows_are(spark, monkeypatch):
+    """By bitmaps, so that the rows do not move, and by number where there are too many of them: the same flags."""
+    rows = with_row(spark.range(0, 70_000, 1, 2).select((F.col("id") % 50_000).alias("want"), "id"))
+    found = []
+    for most in (ordinals.BITMAPS, 0):
+        monkeypatch.setattr(ordinals, "BITMAPS", most)
+        claimed = first_claims(rows, "want", [F.col("id")], "won")
+        found.append({r.id: r.won for r in claimed.collect()})
+        plan = claimed._jdf.queryExecution().executedPlan().toString()
+        assert ("Exchange hashpartitioning" in plan) == (most == 0)
+    assert found[0] == found[1] == {n: n < 50_000 for n in range(70_000)}
+
+
+def test_shuffles_go_with_their_job(spark):
+    """What a table was shuffled by is not left on the disks once the table is written."""
+    env = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get()
+    folders = [folder.getPath() for folder in env.blockManager().diskBlockManager().localDirs()]
+    left = lambda: {f for d in folders for _, _, names in os.walk(d) for f in names if f.startswith("shuffle_")}
+    before = left()
+    assert session.kept(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "counts").count() == 7
+    for _ in range(100):
+        if not left() - before:
+            break
+        time.sleep(0.1)
+    assert not left() - before
+
+
 def test_scratch_tables_can_go(spark, monkeypatch):
     """A table is discarded by its files; clearing takes the folder of the application, and no more."""
     own = session.shared_dir(spark) + "/own"

@@ -1,11 +1,13 @@
 """Plans end to end on small tables, with every outcome present."""
 
 import json
+import os
 from dataclasses import replace
 
 import pytest
 from pyspark.sql import functions as F
 
+from reelspark import session
 from reelspark.operators import assign, enrich, planning, reports
 from reelspark.operators.infer import TV
 from reelspark.plans import pipeline
@@ -93,6 +95,23 @@ def test_names_are_parsed_no_more_than_needed(manifest, reference, listing):
     assert rows._jdf.queryExecution().optimizedPlan().toString().count(r"S(\d{2})") == 1
 
 
+def test_tables_go_when_nothing_reads_them(spark, manifest, reference, listing, tmp_path, monkeypatch):
+    """Of a plan that is not yet written its rows are left, and who won which claim."""
+    monkeypatch.setattr(session, "session_dir", lambda _: str(tmp_path / "own"))
+    plan = pipeline.process(manifest, reference, Options(), listing)
+    assert sorted(name.rsplit("-", 1)[0] for name in os.listdir(tmp_path / "own")) == ["bitmaps", "bitmaps", "rows"]
+    assert plan.count() == len(FILES)
+
+
+def test_report_has_parts_but_keeps_none(manifest, reference, monkeypatch):
+    columns, keep = {}, pipeline.kept
+    monkeypatch.setattr(pipeline, "kept", lambda table, label: columns.setdefault(label, table.columns) and keep(table, label))
+    got = pipeline.infer_report(manifest, reference).collect()
+    assert "parts" not in columns["named"]
+    named = {r.path: r.parts for r in pipeline.named(manifest, reference, Options(), TV).collect()}
+    assert {r.path: r.parts for r in got} == named
+
+
 def test_claims_are_unique(manifest, reference, listing):
     plan = pipeline.process(manifest, reference, Options(), listing)
     for target, action, word in (("rename_target", "rename_action", "rename"), ("organize_target", "organize_action", "move")):
@@ -382,6 +401,22 @@ def test_stream_is_batch(spark, manifest, reference, listing, arrivals_dir, tmp_
     assert spark.read.parquet(sink).count() == len(FILES)
 
 
+def test_stream_works_its_tables_out_once(spark, manifest, reference, listing, arrivals_dir, tmp_path, monkeypatch):
+    """Not anew for each batch: they are kept before the first one."""
+    labels, keep = [], arrivals.kept
+
+    def spy(table, label):
+        labels.append(label)
+        return keep(table, label)
+
+    monkeypatch.setattr(arrivals, "kept", spy)
+    monkeypatch.setattr(pipeline, "kept", spy)
+    files = arrivals.manifest_stream(spark, arrivals_dir, 1)
+    arrivals.stream_plan(files, reference, str(tmp_path / "plan"), str(tmp_path / "state"), Options(), listing).awaitTermination()
+    assert labels.count("named") > 1
+    assert all(labels.count(label) == 1 for label in ("listing", "ids", "index", "episodes"))
+
+
 def test_claims_are_keyed_state(spark, tmp_path):
     """Ten batches: each path goes to the first that asks; a batch that runs again gets its own answer."""
     root, seen = str(tmp_path / "claims"), set()
